@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm.bpe import count_tokens, encode
+from knotwork.llm.clusters import similarity_clusters
 from knotwork.llm.groups import named_groups
 from knotwork.llm.mixing import mix
 from knotwork.llm.neighbors import nearest
+from knotwork.llm.sentences import sentence_units
 from knotwork.llm.splitting import split_items
+from knotwork.plans.data_problems import latest_rows
 from knotwork.tables import code_key, code_sql, ref_key, ref_sql, table
 
 
@@ -54,6 +57,23 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_pieces(spark, sf).where("piece = 0").select("item_table", "item_id")
 
 
+def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    models = table(spark, sf, "embed_models")
+    named = F.broadcast(models.select(code_key("model").alias("key"), "model"))  # a fixed table of few rows
+    states = table(spark, sf, "state_chunks").select(ref_key("fl_id").alias("chunk"), code_key("fl_embedding_model").alias("key"), "fl_created_at")
+    wanted = latest_rows(states, "chunk", "fl_created_at", "key").join(named, "key").select(F.col("id").alias("chunk"), "model")
+    return similarity_clusters(spark, table(spark, sf, "chunk_embeddings"), models, wanted)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _clusters(spark, sf)[0].select(F.col("chunk").alias("chunk_id"), "cluster_id")
+
+
+def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Each cluster with its size and its three most typical chunks."""
+    return _clusters(spark, sf)[1].select("cluster_id", "model", "size", F.array_join("typical", " ").alias("typical_chunks"))
+
+
 def _nearest(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(spark, table(spark, sf, "chunk_embeddings"), table(spark, sf, "embed_models"))
 
@@ -92,7 +112,11 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_found": p6_found, "p6_neighbors": p6_neighbors, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentence_units(table(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found, "p6_neighbors": p6_neighbors, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 _GROUPS = f"""
 WITH RECURSIVE counted AS (SELECT * FROM concepts QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY seq DESC) = 1),
@@ -109,6 +133,13 @@ v AS (SELECT chunk, model, v FROM ok QUALIFY row_number() OVER (PARTITION BY chu
 s AS (SELECT a.model, a.chunk AS q, b.chunk AS o, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM v a JOIN v b ON a.model = b.model AND a.chunk <> b.chunk),
 n AS (SELECT *, row_number() OVER (PARTITION BY model, q ORDER BY c DESC, o) AS rank FROM s WHERE c >= 0.8 QUALIFY rank <= 5)
 """
+_ALIKE = _NEAR.replace("WITH m", "WITH RECURSIVE m").split("n AS (SELECT *, row_number() OVER (PARTITION BY model, q")[0] + f"""
+w AS (SELECT {ref_sql('fl_id')} AS chunk, arg_max({code_sql('fl_embedding_model')}, fl_created_at) AS k FROM state_chunks GROUP BY 1),
+t AS (SELECT w.chunk, m.model FROM w JOIN m ON w.k = m.k),
+e AS (SELECT s.model, s.q, s.o FROM s JOIN t a ON a.chunk = s.q AND a.model = s.model JOIN t b ON b.chunk = s.o AND b.model = s.model WHERE s.c >= 0.8),
+reach AS (SELECT model, q, q AS o FROM e UNION SELECT r.model, r.q, e.o FROM reach r JOIN e ON e.model = r.model AND e.q = r.o)
+SELECT q AS chunk_id, min(o) AS cluster_id FROM reach GROUP BY model, q HAVING count(*) >= 5
+"""
 _TOO_LONG = f"""
 WITH rows AS (
   SELECT 'source_chunks' AS item_table, fl_id, fl_created_at, {code_sql('fl_type')} AS t, {code_sql('fl_language')} AS l, body AS content FROM source_chunks
@@ -123,6 +154,7 @@ ORACLES = {
     "p1_found": _GROUPS + "SELECT concept_id, group_id FROM groups",
     "p1_groups": _GROUPS + "SELECT * FROM groups",
     "p2_found": _TOO_LONG,
+    "p5_found": _ALIKE,
     "p6_found": _NEAR + "SELECT DISTINCT model, least(q, o) AS chunk_a, greatest(q, o) AS chunk_b FROM n",
     "p6_neighbors": _NEAR + "SELECT model, q AS chunk_id, CAST(rank AS INTEGER) AS rank, o AS neighbor_id, c AS cosine FROM n",
 }
