@@ -1,7 +1,7 @@
 """The most similar vectors of every vector, by a forest of random-projection trees.
 
 Every vector lies in one leaf of each tree and visits more leaves in the order of one priority queue that
-is shared by all trees. Within a leaf the candidates are compared in single precision, and those that may
+is shared by all trees. In a leaf all that live there or visit are each other's candidates; they are compared in single precision, and those that may
 be among the nearest again in double precision from the stored values; the leaves' lists are merged.
 """
 
@@ -20,17 +20,17 @@ _BLOCK = 1_024
 _SLACK = 2e-6
 
 
-def nearest_in_leaf(names: np.ndarray, home: np.ndarray, x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, other, cosine), sorted by query: the k home rows of cosine least or more nearest to each row, rounded to 9 decimals, ties by name."""
+def nearest_in_leaf(names: np.ndarray, x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, other, cosine), sorted by query: the k rows of cosine least or more nearest to each row, rounded to 9 decimals, ties by name."""
     u = unit(x)
-    f, d = u.astype(np.float32), np.flatnonzero(home)
+    f = u.astype(np.float32)
     order = np.argsort(names, kind="stable")
     rank = np.empty(len(names), np.int64)
     rank[order] = np.arange(len(names))
     out = []
     for i in range(0, len(x), _BLOCK):
-        s = f[i : i + _BLOCK] @ f[d].T
-        s[rank[i : i + _BLOCK][:, None] == rank[d][None, :]] = -2
+        s = f[i : i + _BLOCK] @ f.T
+        s[rank[i : i + _BLOCK][:, None] == rank[None, :]] = -2
         some = np.flatnonzero(s.max(1, initial=-2) >= least - _SLACK)
         s = s[some]
         floor = np.full(len(some), least - _SLACK, np.float32)
@@ -38,7 +38,7 @@ def nearest_in_leaf(names: np.ndarray, home: np.ndarray, x: np.ndarray, k: int,
         if len(many):
             floor[many] = np.maximum(floor[many], np.partition(s[many], -k, axis=1)[:, -k] - _SLACK)
         a, b = np.nonzero(s >= floor[:, None])
-        a, b = some[a] + i, d[b]
+        a = some[a] + i
         c = np.round(np.einsum("ij,ij->i", u[a], u[b]), 9)
         ok = (c >= least) & (names[a] != names[b])
         a, b, c = a[ok], b[ok], c[ok]
@@ -65,14 +65,14 @@ def nearest(spark: SparkSession, embeddings: DataFrame, models: DataFrame, k: in
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         names = np.array(table["chunk"].to_pylist(), dtype=object)
-        a, b, c = nearest_in_leaf(names, table["home"].to_numpy(), leaf_vectors(table["vec"]), k, least)
+        a, b, c = nearest_in_leaf(names, leaf_vectors(table["vec"]), k, least)
         starts = np.r_[0, np.flatnonzero(np.diff(a)) + 1] if len(a) else np.zeros(0, np.int64)
         near = pa.StructArray.from_arrays([pa.array(-c, pa.float64()), pa.array(names[b], pa.string())], names=["minus", "chunk"])
         lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(a)].astype(np.int32)), near)
         return pa.table({"model": pa.array([key[0].as_py()] * len(starts), pa.string()), "chunk": pa.array(names[a[starts]], pa.string()), "near": lists})
 
     schema = "model string, chunk string, near array<struct<minus: double, chunk: string>>"
-    found = placed.groupBy("model", "place").applyInArrow(run, schema)
+    found = placed.drop("home").groupBy("model", "place").applyInArrow(run, schema)
     found = tmp.cut(found)
     if held.value:
         found = found.unionByName(_copies(spark, rows, fitted, k))
