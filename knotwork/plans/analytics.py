@@ -117,7 +117,7 @@ def distance_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_merged(spark, sf))
 
 
-_AGE = f"greatest(0.01::DOUBLE, f.score::DOUBLE * (1::DOUBLE - least(0.3::DOUBLE, 0.1::DOUBLE * least(1.0::DOUBLE, date_diff('second', d.created_at, TIMESTAMP '{NOW}') / 86400.0::DOUBLE / 47::DOUBLE) * 1.25::DOUBLE)))"
+_AGE = f"greatest(0.01::DOUBLE, f.score::DOUBLE * (1::DOUBLE - least(0.3::DOUBLE, 0.1::DOUBLE * least(1.0::DOUBLE, date_diff('second', d.created_at, TIMESTAMP '{NOW}') / 86400.0::DOUBLE / 47::DOUBLE) * 1.15::DOUBLE)))"
 
 
 @query(_MERGED + f""", a AS (SELECT f.id, d.fl_type || ':' || lower(trim(coalesce(d.source, ''))) AS concept, round({_AGE}, 6) AS score, row_number() OVER (ORDER BY round(f.distance, 9), f.id) - 1 AS pos FROM f JOIN documents d ON d.doc_id = f.id),
@@ -127,7 +127,7 @@ def hybrid_flagship(spark: SparkSession, sf: str) -> DataFrame:
     merged = _merged(spark, sf)
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat("fl_type", F.lit(":"), F.lower(F.trim(F.coalesce("source", F.lit(""))))).alias("concept"), "created_at")
     j = merged.join(d, "id").withColumn("pos", F.row_number().over(Window.orderBy(F.round("distance", 9), "id")) - 1)  # at most 200 rows
-    aged = j.withColumn("score", F.round(R.staleness_penalty(F.col("score"), F.timestamp_diff("SECOND", F.col("created_at"), M.now()) / 86400.0, 47, 1.25), 6))
+    aged = j.withColumn("score", F.round(R.staleness_penalty(F.col("score"), F.timestamp_diff("SECOND", F.col("created_at"), M.now()) / 86400.0, 47, 1.15), 6))
     return R.best_per_concept(aged, "concept", "id").select("id", "concept", "score", "slot").orderBy("slot", "id").limit(20)
 
 
