@@ -67,8 +67,10 @@ def personalized_pagerank(spark: SparkSession, edges: DataFrame, seeds: DataFram
     if not n:
         return seeds.select("node", F.lit(0.0).alias("score"))
     start = seeds.groupBy("node").agg((F.count("*") / n).alias("score"))
+    edges = tmp.cut(edges.select("source", "target", "weight"))
     out = edges.groupBy("source").agg(F.sum("weight").alias("total"))
     shares = tmp.cut(edges.join(out, "source").select(F.col("source").alias("node"), "target", (F.col("weight") / F.col("total")).alias("share")))
+    tmp.release(edges)
     scores = start
     for i in range(iterations):
         walked = scores.join(shares, "node").select(F.col("target").alias("node"), ((1 - alpha) * F.col("score") * F.col("share")).alias("score"))

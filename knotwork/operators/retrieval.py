@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions.scalars import cosine_distance
+from knotwork.scratch import Scratch
 
 # The parameters of the ranking function and of the fusions.
 K1, B, IDF_FLOOR, RRF_K, BM25_HALF = 1.2, 0.75, 1e-6, 60, 30
@@ -24,18 +25,24 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def _equals(term: str):  # noqa: ANN202
-    return lambda x: x == term
+def _spaced(text: str) -> Column:
+    """The tokens of a text with two blanks between them, so that each has blanks of its own."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+", "  "))
 
 
 def bm25(texts: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """RT1: key and rank (below 0, the least the best) of the texts that hold a term.
 
     The corpus' figures are those of all texts; filters belong behind. Without terms there are no rows.
+    Terms are counted by what a text loses when they are taken out of it, which needs no array of tokens.
     """
     if not terms:
         return texts.select(key, F.lit(0.0).alias("rank")).where("false")
-    counted = texts.select(key, tokens(text).alias("t")).select(key, F.size("t").alias("len"), *[F.size(F.filter("t", _equals(q))).alias(f"tf{i}") for i, q in enumerate(terms)])
+    n = F.length("t")
+    # the generator keeps the optimizer from writing the pattern into each of the counts
+    spaced = texts.select(key, F.explode(F.array(_spaced(text))).alias("t")).select(key, F.when(n == 0, 0).otherwise((n - F.length(F.replace("t", F.lit("  ")))) / 2 + 1).cast("int").alias("len"), F.concat(F.lit(" "), "t", F.lit(" ")).alias("t"))
+    counted = spaced.select(key, "len", *[((F.length("t") - F.length(F.replace("t", F.lit(f" {q} ")))) / (len(q) + 2)).cast("int").alias(f"tf{i}") for i, q in enumerate(terms)])
+    counted = Scratch(texts.sparkSession).cut(counted)  # texts are read and taken apart once; what stays is a few numbers each
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
 
