@@ -13,7 +13,7 @@ from knotwork.llm.forest import Tree, fit_forest, route
 from knotwork.tables import code_key, ref_key
 
 #: Rows of each model that the trees are fitted on; every row is indexed.
-SAMPLE, LEAF_ROWS, TREES, VISITS = 6_000, 4_096, 2, 1
+SAMPLE, LEAF_ROWS, TREES, VISITS = 8_000, 16_384, 2, 1
 #: Copies of one vector that a task passes on to its leaf: a query counts five neighbours, itself not.
 COPIES = 6
 
