@@ -138,7 +138,7 @@ def excerpts(content: Column | str, query: Column | str, most: int = 3, separato
     Paragraphs without any are left out; among equals the earlier wins.
     """
     wanted = F.array_distinct(F.filter(F.split(F.lower(_c(query)), r"\s+"), lambda w: F.length(w) > 2))
-    paras = F.filter(F.transform(F.split(_c(content), separator), F.trim), lambda p: p != "")
+    paras = F.filter(F.transform(F.split(_c(content), separator), lambda p: F.trim(p)), lambda p: p != "")
     scored = F.transform(paras, lambda p, i: F.struct((-F.size(F.filter(wanted, lambda w: F.contains(F.lower(p), w)))).alias("minus"), i.alias("i"), p.alias("p")))
     top = F.slice(F.array_sort(F.filter(scored, lambda s: s["minus"] < 0)), 1, most)
     return F.transform(F.array_sort(F.transform(top, lambda s: F.struct(s["i"].alias("i"), s["p"].alias("p")))), lambda s: s["p"])
@@ -147,7 +147,7 @@ def excerpts(content: Column | str, query: Column | str, most: int = 3, separato
 def attributions(narrative: Column | str) -> Column:
     """SF16: the names in [[a, b]] of a text."""
     inner = F.regexp_extract_all(_c(narrative), F.lit(r"\[\[([^\]]+)\]\]"), 1)
-    return F.array_distinct(F.filter(F.flatten(F.transform(inner, lambda s: F.transform(F.split(s, ","), F.trim))), lambda s: s != ""))
+    return F.array_distinct(F.filter(F.flatten(F.transform(inner, lambda s: F.transform(F.split(s, ","), lambda x: F.trim(x)))), lambda s: s != ""))
 
 
 def clamp(c: Column | str, high: float = 1.0) -> Column:

@@ -37,8 +37,13 @@ def symbols_of(text: str, language: str) -> list[dict]:
             if m := re.match(pattern, line):
                 out.append({"name": m.group(1), "kind": kind, "line_start": i + 1, "indent": len(line) - len(line.lstrip())})
                 break
-    for k, s in enumerate(out):
-        after = next((x["line_start"] - 1 for x in out[k + 1 :] if x["indent"] <= s["indent"]), len(lines))
+    for s in out:
+        after = len(lines)
+        for i in range(s["line_start"], len(lines)):
+            line = lines[i]
+            if line.strip() and len(line) - len(line.lstrip()) <= s["indent"]:
+                after = i + 1 if re.match(r"\s*(?:[})]|end\b)", line) else i
+                break
         while after > s["line_start"] and not lines[after - 1].strip():
             after -= 1
         body = "\n".join(lines[s["line_start"] - 1 : after])
