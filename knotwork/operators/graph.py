@@ -178,3 +178,23 @@ def medoids(vectors: DataFrame, key: str, group: str, vector: str) -> DataFrame:
     c = centroids(vectors, group, vector)
     d = F.aggregate(F.zip_with(vector, "centroid", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
     return vectors.join(c, group).withColumn("d", d).groupBy(group).agg(F.min(F.struct(F.round("d", 9).alias("d"), F.col(key).alias("k"))).alias("m")).select(group, F.col("m.k").alias("medoid"), F.round("m.d", 6).alias("distance"))
+
+
+def lore_residuals(similarities: DataFrame, labels: DataFrame) -> DataFrame:
+    """GR12: 1 minus the mean blended similarity of each node to the others of its cluster; without any, 0.
+
+    similarities: a, b, weight; labels: node, cluster. Pairs across clusters don't count.
+    """
+    la, lb = labels.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), labels.select(F.col("node").alias("b"), F.col("cluster").alias("cb"))
+    same = similarities.join(la, "a").join(lb, "b").where("ca = cb")
+    mean = same.select(F.col("a").alias("node"), "weight").unionAll(same.select(F.col("b").alias("node"), "weight")).groupBy("node").agg(F.avg("weight").alias("mean"))
+    return labels.join(mean, "node", "left").select("node", "cluster", F.coalesce(1 - F.col("mean"), F.lit(0.0)).alias("lore_residual"))
+
+
+def disconnected_clusters(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """HS18: a, b: clusters (not more than MATRIX_ROWS of them) between which no edge (a, b) runs."""
+    la, lb = labels.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), labels.select(F.col("node").alias("b"), F.col("cluster").alias("cb"))
+    linked = edges.join(la, "a").join(lb, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    c = labels.select("cluster").distinct().limit(MATRIX_ROWS)
+    pairs = c.select(F.col("cluster").alias("a")).join(F.broadcast(c.select(F.col("cluster").alias("b"))), F.col("a") < F.col("b"))  # at most MATRIX_ROWS on each side
+    return pairs.join(linked, ["a", "b"], "left_anti")

@@ -120,3 +120,26 @@ def claim_confidence(claims: DataFrame, sources: DataFrame, claim: str, source:
     j = claims.join(sources.select(source, "freshness", "relevance"), source, "left")
     half = F.lit(0.5)
     return j.groupBy(claim).agg((0.4 * F.avg(F.coalesce("freshness", half)) + 0.4 * F.avg(F.coalesce("relevance", half)) + 0.2 * F.least(F.lit(1.0), F.count("*") / 3)).alias("confidence"))
+
+
+def ppr_fusion(results: DataFrame, signals: DataFrame, concept: str, alpha: float = 0.2, nodes: int = 40, inject: int = 5) -> DataFrame:
+    """RT13: alpha times a concept's graph signal is added; the strongest concepts that are missing come in with it alone.
+
+    signals: concept, ppr, confidence, seed of the symbols bound to a concept; of the nodes with the greatest ppr that
+    are no seeds, the greatest is the unit. A concept's signal is its best one.
+    """
+    best = signals.where("not seed").orderBy(F.desc("ppr"), concept).limit(nodes)
+    unit = best.agg(F.max("ppr").alias("unit"))
+    s = best.join(F.broadcast(unit)).groupBy(concept).agg(F.max(F.col("ppr") / F.col("unit") * F.col("confidence")).alias("signal"))  # one row
+    known = results.join(s, concept, "left").withColumn("score", F.col("score") + alpha * F.coalesce("signal", F.lit(0.0))).withColumn("injected", F.lit(False)).select(concept, "score", "injected")
+    fresh = s.join(results.select(concept), concept, "left_anti").orderBy(F.desc("signal"), concept).limit(inject).select(concept, (alpha * F.col("signal")).alias("score"), F.lit(True).alias("injected"))
+    return known.unionByName(fresh)
+
+
+def enriched(results: DataFrame, bindings: DataFrame, drift: DataFrame, concept: str, most: int = 5) -> DataFrame:
+    """RT8, RT15: results with their files, their best bindings by confidence and the number of drifted ones."""
+    w = Window.partitionBy(concept).orderBy(F.desc("confidence"), "symbol_id")
+    b = bindings.withColumn("rn", F.row_number().over(w)).groupBy(concept).agg(F.array_sort(F.collect_set("file_path")).alias("files"), F.array_sort(F.collect_list(F.when(F.col("rn") <= most, F.struct("rn", "symbol")))).alias("best"))
+    d = drift.groupBy(concept).agg(F.count("*").alias("n_drifted"))
+    out = results.join(b, concept, "left").join(d, concept, "left")
+    return out.withColumn("symbols", F.col("best.symbol")).drop("best").withColumn("n_drifted", F.coalesce("n_drifted", F.lit(0)))

@@ -10,6 +10,7 @@ from knotwork.operators import coverage as C
 from knotwork.operators import graph as G
 from knotwork.operators import health as H
 from knotwork.operators import interactions as I
+from knotwork.operators import lifecycle as L
 from knotwork.operators import queues as Q
 from knotwork.operators import retrieval as R
 from knotwork.operators import suggest as SG
@@ -616,3 +617,88 @@ def suggestions_all(spark: SparkSession, sf: str) -> DataFrame:
     cov = _scored(spark, sf).withColumn("coverage", F.length("name") % 10 / 10)
     kinds = [SG.review(M.concepts(spark, sf).where("status = 'active'")), SG.knowledge_pull(cov), SG.cluster_drift(M.concepts(spark, sf))]
     return SG.put_together([_rounded(k) for k in kinds], ["review", "knowledge-pull", "cluster-drift"], 50)
+
+
+# more of retrieval, graphs and lifecycle
+
+_SYMBOL_TERMS = ["merge", "narrative", "cache"]
+_STF = ", ".join(f"len(list_filter(t, lambda x: x = '{q}')) AS tf{i}" for i, q in enumerate(_SYMBOL_TERMS))
+_SDF = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(3))
+_SPART = " + ".join(f"(CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{i} + 0.5) / (df{i} + 0.5)) END) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * l / avgdl))" for i in range(3))
+
+
+@query(with_("sym") + f""", tok AS (SELECT id, list_filter(regexp_split_to_array(lower(regexp_replace(concat_ws(' ', name, qualified_name, signature), '([A-Z])', ' \\1', 'g')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM sym),
+tf AS (SELECT id, len(t) AS l, {_STF} FROM tok), st AS (SELECT count(*) AS n, avg(l) AS avgdl, {_SDF} FROM tf)
+SELECT id, round(-({_SPART}), 6) AS rank FROM tf, st WHERE tf0 > 0 OR tf1 > 0 OR tf2 > 0 ORDER BY 2, 1 LIMIT 20""")
+def symbol_search(spark: SparkSession, sf: str) -> DataFrame:
+    """RT4: keyword search over names and signatures, whose parts are words of their own."""
+    s = M.symbols(spark, sf).select("id", F.regexp_replace(F.concat_ws(" ", "name", "qualified_name", "signature"), "([A-Z])", " $1").alias("text"))
+    return R.top(_rounded(R.bm25(s, "id", "text", _SYMBOL_TERMS)), F.col("rank"), "id", 20)
+
+
+_SIGNALS = "sg AS (SELECT c_nationkey % 12 AS concept, sum(o_totalprice) / 1e6 AS ppr, 0.5 + (c_nationkey % 3) / 6.0 AS confidence, c_nationkey = 3 AS seed FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey)"
+
+
+@query("WITH " + _SIGNALS + """, rs AS (SELECT r_regionkey AS concept, 0.1 * r_regionkey AS score FROM region), bt AS (SELECT * FROM sg WHERE NOT seed ORDER BY ppr DESC, concept LIMIT 40),
+s AS (SELECT concept, max(ppr / (SELECT max(ppr) FROM bt) * confidence) AS signal FROM bt GROUP BY 1)
+SELECT rs.concept, round(score + 0.2 * coalesce(signal, 0), 6)::DOUBLE AS score, false AS injected FROM rs LEFT JOIN s ON s.concept = rs.concept
+UNION ALL (SELECT concept, round(0.2 * signal, 6)::DOUBLE, true FROM s WHERE concept NOT IN (SELECT concept FROM rs) ORDER BY signal DESC, concept LIMIT 5)""")
+def ppr_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_nationkey")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice").join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    g = o.groupBy("c_nationkey").agg((F.sum("o_totalprice") / 1e6).alias("ppr")).select((k % 12).alias("concept"), "ppr", (0.5 + k % 3 / 6).alias("confidence"), (k == 3).alias("seed"))
+    r = table(spark, sf, "region").select(F.col("r_regionkey").alias("concept"), (0.1 * F.col("r_regionkey")).alias("score"))
+    return _rounded(R.ppr_fusion(r, g, "concept"))
+
+
+@query(with_("sym", "bind") + """, su AS (SELECT b.concept_id, b.symbol_id, s.name AS symbol, f.file_path, b.confidence, row_number() OVER (PARTITION BY b.concept_id ORDER BY b.confidence DESC, b.symbol_id) AS rn FROM bind b JOIN sym s ON s.id = b.symbol_id JOIN source_files f ON f.id = s.source_file_id),
+d AS (SELECT concept_id, count(*) AS n FROM su WHERE confidence < 0.6 GROUP BY 1)
+SELECT c.id AS concept_id, list_sort(list_distinct(x.files)) AS files, x.symbols, coalesce(d.n, 0) AS n_drifted FROM (SELECT DISTINCT id FROM concepts) c LEFT JOIN (SELECT concept_id, list(file_path) AS files, list(symbol ORDER BY rn) FILTER (rn <= 5) AS symbols FROM su GROUP BY 1) x ON x.concept_id = c.id LEFT JOIN d ON d.concept_id = c.id""")
+def result_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    """Weak bindings stand for drifted ones."""
+    b = C.summaries(M.bindings(spark, sf), M.symbols(spark, sf), M.files(spark, sf))
+    r = table(spark, sf, "concepts").select(F.col("id").alias("concept_id")).distinct()
+    return R.enriched(r, b, b.where("confidence < 0.6").select("concept_id"), "concept_id").select("concept_id", "files", "symbols", "n_drifted")
+
+
+@query(_MAT + """, l AS (SELECT n_nationkey AS node, n_regionkey AS cluster FROM nation), sm AS (SELECT m.a, m.b, m.weight FROM mat m JOIN l x ON x.node = m.a JOIN l y ON y.node = m.b WHERE x.cluster = y.cluster),
+g AS (SELECT node, avg(weight) AS mean FROM (SELECT a AS node, weight FROM sm UNION ALL SELECT b, weight FROM sm) GROUP BY 1) SELECT l.node, l.cluster, round(coalesce(1 - g.mean, 0), 4) AS lore_residual FROM l LEFT JOIN g ON g.node = l.node""")
+def lore_residual(spark: SparkSession, sf: str) -> DataFrame:
+    labels = table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("cluster"))
+    return G.lore_residuals(G.relation_matrix(M.nations(spark, sf)), labels).withColumn("lore_residual", F.round("lore_residual", 4))
+
+
+@query(_MAT + """, l AS (SELECT n_nationkey AS node, n_regionkey AS cluster FROM nation), k AS (SELECT DISTINCT least(x.cluster, y.cluster) AS a, greatest(x.cluster, y.cluster) AS b FROM mat m JOIN l x ON x.node = m.a JOIN l y ON y.node = m.b WHERE m.weight > 0.95)
+SELECT x.r_regionkey AS a, y.r_regionkey AS b FROM region x JOIN region y ON x.r_regionkey < y.r_regionkey WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.a = x.r_regionkey AND k.b = y.r_regionkey)""")
+def status_cluster_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    labels = table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("cluster"))
+    return G.disconnected_clusters(G.relation_matrix(M.nations(spark, sf)).where("weight > 0.95"), labels)
+
+
+@query(f"""WITH c AS (SELECT {code_sql('fl_embedding_model')} AS want, {ref_sql('fl_id')} AS id FROM state_chunks WHERE fl_embedding_model IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fl_id) = 1),
+e AS (SELECT DISTINCT {ref_sql('chunk_id')} AS id, {code_sql('model')} AS model FROM chunk_embeddings)
+SELECT c.want AS model, count(*) AS chunks, count(*) FILTER (e.id IS NULL) AS missing FROM c LEFT JOIN e ON e.id = c.id AND e.model = c.want GROUP BY 1""")
+def embedding_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "state_chunks").where("fl_embedding_model is not null").dropDuplicates(["fl_id"]).select(ref_key("fl_id").alias("id"), code_key("fl_embedding_model").alias("model"))
+    e = table(spark, sf, "chunk_embeddings").select(ref_key("chunk_id").alias("id"), code_key("model").alias("model"), F.lit(True).alias("there")).distinct()
+    return c.join(e, ["id", "model"], "left").groupBy("model").agg(F.count("*").alias("chunks"), F.count_if(F.col("there").isNull()).alias("missing"))
+
+
+@query(with_("cur") + """, q AS (SELECT DISTINCT fl_narrative_origin AS request_id, fl_concept AS target FROM state_chunks WHERE fl_narrative_origin IS NOT NULL AND fl_concept IS NOT NULL), k AS (SELECT lower(name) AS key, bool_or(status = 'active') AS live FROM cur GROUP BY 1)
+SELECT request_id, target, CASE WHEN live IS NULL THEN 'missing' WHEN live THEN 'ok' ELSE 'inactive' END AS verdict FROM q LEFT JOIN k ON k.key = lower(q.target)""")
+def open_targets(spark: SparkSession, sf: str) -> DataFrame:
+    r = table(spark, sf, "state_chunks").where("fl_narrative_origin is not null and fl_concept is not null").groupBy(F.col("fl_narrative_origin").alias("request_id")).agg(F.collect_set("fl_concept").alias("targets"))
+    return L.check_targets(r, M.concepts(spark, sf).select("name", "status"))
+
+
+@query(with_("com", "tree") + """, e AS (SELECT l_suppkey AS concept_id, l_orderkey * 10 + l_linenumber AS entry_id, l_linenumber AS position FROM lineitem), u AS (SELECT concept_id, max(chunk_id) AS chunk_id, min(chunk_id) AS base_chunk_id FROM tree WHERE concept_id % 3 <> 0 GROUP BY 1)
+SELECT x.concept_id, x.n AS n_entries, x.f AS first_entry, u.chunk_id, CASE WHEN u.chunk_id IS NULL THEN 'create' WHEN u.base_chunk_id <> u.chunk_id THEN 'merge' ELSE 'update' END AS action FROM (SELECT concept_id, count(*) AS n, arg_min(entry_id, position::BIGINT * 1000000000000 + entry_id) AS f FROM e GROUP BY 1) x LEFT JOIN u ON u.concept_id = x.concept_id""")
+def close_plan(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("concept_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entry_id"), F.col("l_linenumber").alias("position"))
+    u = M.trees(spark, sf).where("concept_id % 3 <> 0").groupBy("concept_id").agg(F.max("chunk_id").alias("chunk_id"), F.min("chunk_id").alias("base_chunk_id"))
+    return L.close_plan(e, u)
+
+
+@query(with_("chunks") + """, s AS (SELECT supersedes_id AS k, id AS by_id FROM chunks WHERE supersedes_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY supersedes_id ORDER BY fl_created_at, id) = 1) SELECT c.id, s.by_id AS superseded_by FROM chunks c LEFT JOIN s ON s.k = c.id""")
+def superseded_by(spark: SparkSession, sf: str) -> DataFrame:
+    return L.superseded_by(M.chunks(spark, sf), "id", "supersedes_id", "fl_created_at").select("id", "superseded_by")
