@@ -120,10 +120,9 @@ found AS (
 """
 _TREES = f"""
 WITH RECURSIVE nodes AS (
-  SELECT 'symbols' AS node_table, {ref_sql('id')} AS id, arg_max({ref_sql('parent_id')}, scanned_at) AS p0, arg_max(parent_id IS NULL, scanned_at) AS none,
-    (max(struct_pack(t := scanned_at, p := coalesce({ref_sql('parent_id')}, '')))).p AS parent FROM symbols GROUP BY 2
+  SELECT 'symbols' AS node_table, {ref_sql('id')} AS id, (max(struct_pack(t := scanned_at, p := coalesce({ref_sql('parent_id')}, '')))).p AS parent FROM symbols GROUP BY 2
   UNION ALL
-  SELECT 'state_chunks', {ref_sql('fl_id')}, NULL, NULL, (max(struct_pack(t := fl_created_at, p := coalesce({ref_sql('fl_supersedes')}, '')))).p FROM state_chunks GROUP BY 2),
+  SELECT 'state_chunks', {ref_sql('fl_id')}, (max(struct_pack(t := fl_created_at, p := coalesce({ref_sql('fl_supersedes')}, '')))).p FROM state_chunks GROUP BY 2),
 walk AS (
   SELECT n.node_table, n.id, n.id AS root_id, 0 AS depth, n.id AS path FROM nodes n LEFT JOIN nodes m ON m.node_table = n.node_table AND m.id = n.parent WHERE m.id IS NULL
   UNION ALL
