@@ -545,16 +545,24 @@ r AS (SELECT st.id, st.cluster, v.v FROM st JOIN v ON v.id = st.id), p AS (SELEC
 
 
 def _clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """id, cluster, model, v: a clustered state chunk once for every model of embed_models of which it has a usable vector, the latest."""
     st = table(spark, sf, "state_chunks").where("fl_cluster is not null").select(F.col("fl_id").alias("id"), F.col("fl_cluster").alias("cluster")).dropDuplicates(["id"])
-    e = table(spark, sf, "chunk_embeddings").where((code_key("model") == "lorevec-text-64") & (F.size("embedding") == 64)).where(F.forall("embedding", lambda x: F.abs(x) < float("inf")) & F.exists("embedding", lambda x: x != 0))
-    w = Window.partitionBy("chunk").orderBy(F.col("embedded_at").desc_nulls_last(), F.col("id").desc())
-    v = e.withColumn("chunk", ref_key("chunk_id")).withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.col("chunk").alias("id"), F.col("embedding").alias("v"))
+    m = F.broadcast(table(spark, sf, "embed_models").select(code_key("model").alias("model"), "dim").dropDuplicates(["model"]))  # a fixed table of few rows
+    e = table(spark, sf, "chunk_embeddings").select(ref_key("chunk_id").alias("chunk"), code_key("model").alias("model"), "embedding", "embedded_at", "id").join(m, "model").where(F.size("embedding") == F.col("dim"))
+    e = e.where(F.forall("embedding", lambda x: F.abs(x) < float("inf")) & F.exists("embedding", lambda x: x != 0))
+    w = Window.partitionBy("chunk", "model").orderBy(F.col("embedded_at").desc_nulls_last(), F.col("id").desc())
+    v = e.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.col("chunk").alias("id"), "model", F.col("embedding").alias("v"))
     return st.join(v, "id")
 
 
 @query(_PAIRS + " SELECT a, b, cluster, round(s, 6) AS similarity, CASE WHEN s > 0.92 THEN 'merge' ELSE 'relate' END AS kind FROM p WHERE s >= 0.70")
 def suggest_merge_relate(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(SG.merge_or_relate(SG.similar_pairs(_clustered(spark, sf), "id", "cluster", "v")))
+    """SG1: vectors are compared within model and cluster; a pair that is similar under several models comes once, with the greatest cosine. The SQL has lorevec-text-64 only."""
+    r = _clustered(spark, sf)
+    kind = r.schema["cluster"].dataType
+    pairs = SG.similar_pairs(r.withColumn("group", F.concat_ws(":", "cluster", "model")), "id", "group", "v")
+    pairs = pairs.groupBy("a", "b", F.substring_index("cluster", ":", 1).cast(kind).alias("cluster")).agg(F.max("similarity").alias("similarity"))
+    return _rounded(SG.merge_or_relate(pairs))
 
 
 @query(with_("cur") + " SELECT id, 'review' AS kind, residual AS confidence FROM cur WHERE residual > 0.65 AND status = 'active'")
