@@ -2,6 +2,9 @@
 
 import datetime
 
+import numpy as np
+import pytest
+
 from knotwork.plans import analytics
 
 
@@ -19,3 +22,19 @@ def test_pairs_of_every_model(spark, tmp_path):
     spark.createDataFrame([(f"E{i}", c, v, m, t) for i, (c, v, m) in enumerate(rows)], "id string, chunk_id string, embedding array<float>, model string, embedded_at timestamp_ntz").write.parquet(f"{tmp_path}/chunk_embeddings.parquet")
     got = sorted((r["a"], r["b"], r["cluster"], r["similarity"], r["kind"]) for r in analytics.suggest_merge_relate(spark, str(tmp_path)).collect())
     assert got == [("C1", "C2", 1, 0.993884, "merge"), ("C3", "C4", 1, 0.928477, "merge"), ("C7", "C8", 3, 1.0, "merge")]
+
+
+def test_chains_in_nine_thousand_rows_stay_whole(spark):
+    """Chains of five in which only neighbours are alike: each link that is not compared splits a cluster."""
+    clusters = pytest.importorskip("knotwork.llm.clusters")
+    rng = np.random.default_rng(5)
+    chains, t = 1800, datetime.datetime(2024, 1, 1)
+    base = np.linalg.qr(rng.standard_normal((chains, 64, 6)))[0]
+    rows = []
+    for j in range(5):  # a step of 34 degrees, each in a direction of its own
+        x = base[:, :, 0] if j == 0 else np.cos(0.6) * x + np.sin(0.6) * base[:, :, j]
+        rows += [(f"E{c:04d}{j}", f"C{c:04d}{j}", x[c].tolist(), "m", t) for c in range(chains)]
+    e = spark.createDataFrame(rows, "id string, chunk_id string, embedding array<float>, model string, embedded_at timestamp")
+    models = spark.createDataFrame([("m", 64)], "model string, dim int")
+    got = clusters.similarity_clusters(spark, e, models, e.selectExpr("chunk_id chunk", "model"))[0].select("chunk", "cluster_id").collect()
+    assert {r["chunk"]: r["cluster_id"] for r in got} == {f"C{c:04d}{j}": f"C{c:04d}0" for c in range(chains) for j in range(5)}
