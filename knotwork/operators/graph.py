@@ -192,9 +192,9 @@ def lore_residuals(similarities: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def disconnected_clusters(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """HS18: a, b: clusters (not more than MATRIX_ROWS of them) between which no edge (a, b) runs."""
+    """HS18: a, b: clusters between which no edge (a, b) runs; all pairs are written, so the result grows with the square of the clusters."""
     la, lb = labels.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), labels.select(F.col("node").alias("b"), F.col("cluster").alias("cb"))
     linked = edges.join(la, "a").join(lb, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-    c = labels.select("cluster").distinct().limit(MATRIX_ROWS)
-    pairs = c.select(F.col("cluster").alias("a")).join(F.broadcast(c.select(F.col("cluster").alias("b"))), F.col("a") < F.col("b"))  # at most MATRIX_ROWS on each side
+    c = labels.select("cluster").distinct()
+    pairs = c.select(F.col("cluster").alias("a")).join(c.select(F.col("cluster").alias("b")), F.col("a") < F.col("b"))  # not broadcast if there are many
     return pairs.join(linked, ["a", "b"], "left_anti")

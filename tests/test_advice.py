@@ -5,6 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
+from knotwork.operators import graph as G
 from knotwork.plans import analytics
 
 
@@ -38,3 +39,9 @@ def test_chains_in_nine_thousand_rows_stay_whole(spark):
     models = spark.createDataFrame([("m", 64)], "model string, dim int")
     got = clusters.similarity_clusters(spark, e, models, e.selectExpr("chunk_id chunk", "model"))[0].select("chunk", "cluster_id").collect()
     assert {r["chunk"]: r["cluster_id"] for r in got} == {f"C{c:04d}{j}": f"C{c:04d}0" for c in range(chains) for j in range(5)}
+
+
+def test_gaps_of_more_than_two_thousand_clusters(spark):
+    labels = spark.range(2100).selectExpr("id node", "id cluster")
+    edges = spark.createDataFrame([(0, 2099), (7, 3)], "a long, b long")
+    assert G.disconnected_clusters(edges, labels).count() == 2100 * 2099 // 2 - 2
