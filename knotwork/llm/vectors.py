@@ -34,13 +34,14 @@ def latest(rows: DataFrame) -> DataFrame:
 
 
 def forests(embeddings: DataFrame, models: DataFrame, cosine: float, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, trees: int = TREES) -> dict[str, list[Tree]]:
-    """A forest for each model, fitted on about sample of its rows, chosen by a hash of their id."""
+    """A forest for each model, fitted on about sample of its rows, chosen by a hash of the whole row; copies of a row count once, so the sample is bounded whatever the ids are."""
     dims = {r["model"]: (r["model"].strip().lower(), r["dim"]) for r in models.collect()}
     keys = [k for k, _ in dims.values()]
     counted = embeddings.select(code_key("model").alias("k")).where(F.col("k").isin(keys)).groupBy("k").count().collect()
     counts = {r["k"]: r["count"] for r in counted}
     part = F.create_map(*[x for k in keys for x in (F.lit(k), F.lit(min(1.0, sample / max(1, counts.get(k, 0)))))])[F.col("k")]
-    chosen = embeddings.select(code_key("model").alias("k"), "embedding", "id").where(F.col("k").isin(keys)).where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part * 1_000_000)
+    hashed = embeddings.select(code_key("model").alias("k"), "embedding", F.xxhash64("id", "chunk_id", "embedded_at", "embedding").alias("h")).where(F.col("k").isin(keys))
+    chosen = hashed.where(F.pmod("h", F.lit(1_000_000)) < part * 1_000_000).dropDuplicates(["k", "h"])
     got = chosen.select("k", "embedding").toArrow()  # about sample rows a model
     names, lists, out = got["k"].to_pylist(), got["embedding"].combine_chunks(), {}
     for model, (k, dim) in dims.items():
