@@ -1,4 +1,4 @@
-"""Concept and call graphs: neighbours, bounded expansion, personalised PageRank, spectra (GR1-GR14).
+"""Concept and call graphs: neighbours, bounded expansion, personalised PageRank, spectra (GR1-GR13).
 
 Edges stay DataFrames. Only matrices under MATRIX_ROWS nodes, whose size is checked, become one array.
 """

@@ -1,4 +1,4 @@
-"""Staleness, pressure, debt and the signals made of them (HS1-HS20). now is always a parameter."""
+"""Staleness, pressure, debt and the signals made of them (HS1-HS14, HS16-HS20). now is always a parameter."""
 
 from __future__ import annotations
 

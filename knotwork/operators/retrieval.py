@@ -1,4 +1,4 @@
-"""Keyword and vector lanes, their fusion, and the adjustments of a ranking (RT1-RT17, ST1, WN3-WN6).
+"""Keyword and vector lanes, their fusion, and the adjustments of a ranking (RT1-RT15, RT17, ST1, WN3-WN6).
 
 A query has few terms, so a keyword lane needs no inverted index shuffled by term: one pass counts the terms
 of every text, one aggregate of a single row has the corpus' figures, and scores are an expression.

@@ -39,7 +39,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str
 
 
 def hash_diff(stored: DataFrame, found: DataFrame, key: str, digest: str) -> DataFrame:
-    """SC11, SC13: key and what an incremental scan does with it: add, change, remove or skip."""
+    """SC11 (without re-attaching bindings), SC13: key and what an incremental scan does with it: add, change, remove or skip."""
     s = stored.select(F.col(key).alias("sk"), F.col(digest).alias("sd"))
     f = found.select(F.col(key).alias("fk"), F.col(digest).alias("fd"))
     action = F.when(F.col("sk").isNull(), "add").when(F.col("fk").isNull(), "remove").when(F.col("sd").eqNullSafe(F.col("fd")), "skip").otherwise("change")
