@@ -1,10 +1,14 @@
 """Forests of random-projection trees over unit vectors, searched through one shared priority queue.
 
-Trees are fitted on a bounded sample. A node tries several random directions and thresholds near the
-middle and keeps the split that parts the fewest near pairs of its sample. Where the sample is used up but
-many rows are still expected, splits go on at random through the last mean. All rows are then routed:
-each lies in one leaf of every tree, and as a query also visits the leaves behind the narrowest margins on
-its ways through all trees.
+A tree is fitted on a bounded sample. A node tries several random directions and thresholds near the middle
+and keeps the split that parts the fewest near pairs of its sample; a node with fewer than twice LEAST sample
+rows is a leaf, so no leaf rests on fewer than about LEAST of them and a leaf's share of all rows is known
+to within chance.
+
+A row is placed by one queue for all trees. It first goes down every tree to its home leaf; at each node
+that it passes, on these and on all later ways, the far child enters the queue with its distance: the root
+of the summed squares of the margins that must be crossed to get there. The nearest children are then taken
+out of the queue one by one and descended to further leaves.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-TRIES, LEAST_SAMPLE = 32, 24
+TRIES, LEAST = 32, 16
 
 
 @dataclass
@@ -36,101 +40,91 @@ def near_pairs(sample: np.ndarray, cosine: float) -> np.ndarray:
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
-def fit(sample: np.ndarray, rows: float, leaf_rows: int, cosine: float, seed: int, pairs: np.ndarray | None = None) -> Tree:
-    """One tree for about rows rows in leaves of about leaf_rows."""
+def fit(sample: np.ndarray, cells: float, cosine: float, seed: int, pairs: np.ndarray | None = None) -> Tree:
+    """One tree of about cells leaves, fewer where the sample is too small for as many."""
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
     pairs = near_pairs(sample, cosine) if pairs is None else pairs
     normals, offsets, children, leaves, deepest = [], [], [], 0, 0
+    enough = max(2 * LEAST, 1.4 * len(sample) / max(cells, 1))
+    where = np.full(len(sample), -1)
 
-    def grow(idx: np.ndarray, mine: np.ndarray, expected: float, mean: np.ndarray, level: int) -> int:
+    def grow(idx: np.ndarray, mine: np.ndarray, level: int) -> int:
         nonlocal leaves, deepest
         deepest = max(deepest, level)
-        if expected <= leaf_rows or level >= 48:
+        if len(idx) < enough:
+            leaves += 1
+            return -leaves
+        x = sample[idx]
+        ends = x[rng.integers(0, len(idx), (2, TRIES))]
+        d = ends[0] - ends[1] + 1e-3 * rng.standard_normal((TRIES, dim))
+        d = (d / np.linalg.norm(d, axis=1, keepdims=True)).astype(np.float32)
+        proj = x @ d.T
+        cut = np.quantile(proj, [0.38, 0.42, 0.46, 0.5, 0.54, 0.58, 0.62], axis=0)
+        where[idx] = np.arange(len(idx))
+        pa, pb = proj[where[mine[:, 0]]], proj[where[mine[:, 1]]]
+        lost = np.array([((pa < c) != (pb < c)).sum(0) for c in cut]).astype(float)
+        # among equals the thinnest slab around the cut
+        lost += np.array([(np.abs(proj - c) < 0.04).mean(0) for c in cut])
+        share = np.array([(proj < c).mean(0) for c in cut])
+        lost[(share < 0.25) | (share > 0.75)] += 1e12  # rows alike, that no threshold divides well
+        q, k = np.unravel_index(np.argmin(lost), lost.shape)
+        left = proj[:, k] < cut[q, k]
+        if left.all() or not left.any():
             leaves += 1
             return -leaves
-        if len(idx) >= LEAST_SAMPLE:
-            x = sample[idx]
-            ends = x[rng.integers(0, len(idx), (2, TRIES))]
-            d = ends[0] - ends[1] + 1e-3 * rng.standard_normal((TRIES, dim))
-            d /= np.linalg.norm(d, axis=1, keepdims=True)
-            proj = x @ d.T
-            cut = np.quantile(proj, [0.38, 0.42, 0.46, 0.5, 0.54, 0.58, 0.62], axis=0)
-            where = np.full(len(sample), -1)
-            where[idx] = np.arange(len(idx))
-            pa, pb = proj[where[mine[:, 0]]], proj[where[mine[:, 1]]]
-            lost = np.array([((pa < c) != (pb < c)).sum(0) for c in cut]).astype(float)
-            # among equals the thinnest slab around the cut
-            slab = np.array([(np.abs(proj - c) < 0.04).mean(0) for c in cut])
-            q, k = np.unravel_index(np.argmin(lost + slab), lost.shape)
-            normal, offset = d[k], cut[q, k]
-            left = proj[:, k] < offset
-            share = left.mean()
-        else:
-            normal = rng.standard_normal(dim)
-            normal /= np.linalg.norm(normal)
-            x = sample[idx]
-            offset, left, share = float(mean @ normal), x @ normal < mean @ normal, 0.5
         at = len(normals)
-        normals.append(normal)
-        offsets.append(offset)
+        normals.append(d[k])
+        offsets.append(cut[q, k])
         children.append([0, 0])
-        for side, keep in enumerate((left, ~left)):
-            sub = idx[keep]
-            inside = np.zeros(len(sample), bool)
-            inside[sub] = True
-            children[at][side] = grow(sub, mine[inside[mine[:, 0]] & inside[mine[:, 1]]], expected * (share if side == 0 else 1 - share), sample[sub].mean(0) if len(sub) else mean, level + 1)
+        sides = left[where[mine[:, 0]]], left[where[mine[:, 1]]]
+        children[at][0] = grow(idx[left], mine[sides[0] & sides[1]], level + 1)
+        children[at][1] = grow(idx[~left], mine[~sides[0] & ~sides[1]], level + 1)
         return at
 
-    root = grow(np.arange(len(sample)), pairs, float(rows), sample.mean(0) if len(sample) else np.zeros(dim), 0)
+    root = grow(np.arange(len(sample)), pairs, 0)
     if root < 0:
         return Tree(np.zeros((0, dim), np.float32), np.zeros(0, np.float32), np.zeros((0, 2), np.int64), 1, 0)
     return Tree(np.array(normals, np.float32), np.array(offsets, np.float32), np.array(children), leaves, deepest)
 
 
-def fit_forest(sample: np.ndarray, rows: float, leaf_rows: int, cosine: float, trees: int, seed: int = 7) -> list[Tree]:
-    pairs = near_pairs(sample, cosine)
-    return [fit(sample, rows, leaf_rows, cosine, seed * 1000 + t, pairs) for t in range(trees)]
-
-
-def _descend(tree: Tree, x: np.ndarray, at: np.ndarray, margins: np.ndarray | None = None, nodes: np.ndarray | None = None) -> np.ndarray:
-    """The leaf of each row from node at on; margins and nodes of each step, if wanted."""
-    at = at.copy()
-    for step in range(tree.depth + 1):
-        live = np.flatnonzero(at >= 0)
-        if not len(live):
-            break
-        n = at[live]
-        m = np.einsum("ij,ij->i", x[live], tree.normals[n]) - tree.offsets[n]
-        if margins is not None:
-            margins[live, step], nodes[live, step] = np.abs(m), n * 2 + (m >= 0)
-        at[live] = tree.children[n, (m >= 0).astype(np.int64)]
-    return -1 - at
-
-
-def route(forest: list[Tree], x: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """home (n, trees): the leaf of each row in each tree; and (n, extra) tree and leaf of further visits, -1 where there are none."""
-    n = len(x)
-    home = np.zeros((n, len(forest)), np.int64)
-    margins, nodes, owner = [], [], []
+def fit_forest(sample: np.ndarray, cells: float, cosine: float, trees: int, seed: int = 7) -> list[Tree]:
+    pairs = near_pairs(sample, cosine) if cells > 1 else np.empty((0, 2), np.int64)
+    return [fit(sample, cells, cosine, seed * 1000 + t, pairs) for t in range(trees)]
+
+
+def place(forest: list[Tree], x: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, trees + visits) tree and leaf of each row of unit vectors: its homes, then its visits by the shared queue; -1 where there are none."""
+    n, trees, rows = len(x), len(forest), np.arange(len(x))
+    visits = visits if sum(t.leaves for t in forest) > trees else 0
+    room = max(1, sum(t.depth for t in forest) + visits * max((t.depth for t in forest), default=0))
+    distance, node, owner = np.full((n, room), np.inf, np.float32), np.zeros((n, room), np.int32), np.zeros((n, room), np.int8)
+    used = np.zeros(n, np.int64)
+
+    def descend(t: int, who: np.ndarray, at: np.ndarray, far: np.ndarray) -> np.ndarray:
+        tree, at = forest[t], at.copy()
+        live = np.flatnonzero(at >= 0) if tree.depth else np.zeros(0, np.int64)
+        while len(live):
+            r, k = who[live], at[live]
+            m = np.einsum("ij,ij->i", x[r], tree.normals[k]) - tree.offsets[k]
+            right = (m >= 0).astype(np.int64)
+            slot = used[r]
+            distance[r, slot], node[r, slot], owner[r, slot] = far[live] + m * m, tree.children[k, 1 - right], t
+            used[r] += 1
+            at[live] = tree.children[k, right]
+            live = live[at[live] >= 0]
+        return -1 - at
+
+    zero = np.zeros(n, np.float32)
+    to_tree, to_leaf = np.tile(np.arange(trees + visits), (n, 1)), np.full((n, trees + visits), -1, np.int64)
     for t, tree in enumerate(forest):
-        m, k = np.full((n, max(1, tree.depth)), np.inf, np.float32), np.zeros((n, max(1, tree.depth)), np.int64)
-        home[:, t] = _descend(tree, x, np.zeros(n, np.int64), m, k) if tree.depth else 0
-        margins.append(m)
-        nodes.append(k)
-        owner += [t] * m.shape[1]
-    queue, nodes, owner = np.concatenate(margins, 1), np.concatenate(nodes, 1), np.array(owner)
-    extra = min(extra, queue.shape[1])
-    first = np.argpartition(queue, extra - 1, axis=1)[:, :extra] if extra else np.zeros((n, 0), np.int64)
-    to_tree, to_leaf = np.full((n, extra), -1), np.full((n, extra), -1)
-    for e in range(extra):
-        k = first[:, e]
-        ok = np.isfinite(queue[np.arange(n), k])
-        for t, tree in enumerate(forest):
-            mine = np.flatnonzero(ok & (owner[k] == t))
-            if len(mine):
-                came = nodes[mine, k[mine]]
-                other = tree.children[came // 2, 1 - came % 2]  # the far side of the narrow margin
-                to_tree[mine, e] = t
-                to_leaf[mine, e] = _descend(tree, x[mine], other)
-    return home, to_tree, to_leaf
+        to_leaf[:, t] = descend(t, rows, np.zeros(n, np.int64), zero) if tree.depth else 0
+    for v in range(trees, trees + visits):
+        first = distance.argmin(1)
+        far, to, whose = distance[rows, first].copy(), node[rows, first].astype(np.int64), owner[rows, first].copy()
+        distance[rows, first] = np.inf
+        to_tree[:, v] = whose
+        for t in range(trees):
+            mine = np.flatnonzero((whose == t) & np.isfinite(far))
+            to_leaf[mine, v] = descend(t, mine, to[mine], far[mine])
+    return to_tree, to_leaf

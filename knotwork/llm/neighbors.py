@@ -1,21 +1,24 @@
 """The most similar vectors of every vector, by a forest of random-projection trees.
 
-Every vector lies in one leaf of each tree and visits more leaves in the order of one priority queue that
-is shared by all trees. In a leaf all that live there or visit are each other's candidates; they are compared in single precision, and those that may
-be among the nearest again in double precision from the stored values; the leaves' lists are merged.
+Every vector lies in its home cell of each tree and in further cells in the order of one priority queue that
+all trees share. Cells are divided into leaves by forests of their own, in the same way. In a leaf all that
+lie there are each other's candidates; they are compared in single precision, and those that may be among
+the nearest again in double precision from the stored values; the leaves' lists are merged.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm.vectors import forests, latest, leaf_vectors, to_leaves, unit, usable
+from knotwork.llm.vectors import COPIES, Vectors, by_cell, to_cells, unit, usable
 from knotwork.scratch import Scratch
 
-_BLOCK = 1_024
+_BLOCK = 512
+#: Rows of a leaf that are compared with each other.
+LEAF_MOST = 6_000
 #: More than single precision can be wrong by in a cosine.
 _SLACK = 2e-6
 
@@ -24,13 +27,15 @@ def nearest_in_leaf(names: np.ndarray, x: np.ndarray, k: int, least: float) -> t
     """(query, other, cosine), sorted by query: the k rows of cosine least or more nearest to each row, rounded to 9 decimals, ties by name."""
     u = unit(x)
     f = u.astype(np.float32)
-    order = np.argsort(names, kind="stable")
-    rank = np.empty(len(names), np.int64)
-    rank[order] = np.arange(len(names))
+    _, rank = np.unique(names, return_inverse=True)
+    repeats = rank.max(initial=-1) + 1 < len(names)
     out = []
     for i in range(0, len(x), _BLOCK):
         s = f[i : i + _BLOCK] @ f.T
-        s[rank[i : i + _BLOCK][:, None] == rank[None, :]] = -2
+        rows = np.arange(len(s))
+        s[rows, rows + i] = -2
+        if repeats:
+            s[rank[i : i + _BLOCK][:, None] == rank[None, :]] = -2
         some = np.flatnonzero(s.max(1, initial=-2) >= least - _SLACK)
         s = s[some]
         floor = np.full(len(some), least - _SLACK, np.float32)
@@ -40,7 +45,7 @@ def nearest_in_leaf(names: np.ndarray, x: np.ndarray, k: int, least: float) -> t
         a, b = np.nonzero(s >= floor[:, None])
         a = some[a] + i
         c = np.round(np.einsum("ij,ij->i", u[a], u[b]), 9)
-        ok = (c >= least) & (names[a] != names[b])
+        ok = c >= least
         a, b, c = a[ok], b[ok], c[ok]
         by = np.lexsort((rank[b], -c, a))
         a, b, c = a[by], b[by], c[by]
@@ -50,42 +55,36 @@ def nearest_in_leaf(names: np.ndarray, x: np.ndarray, k: int, least: float) -> t
     return tuple(np.concatenate(p) for p in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def nearest(spark: SparkSession, embeddings: DataFrame, models: DataFrame, k: int = 5, least: float = 0.8, **index: int) -> DataFrame:
+def nearest(spark: SparkSession, embeddings: DataFrame, models: DataFrame, k: int = 5, least: float = 0.8, leaf_most: int = LEAF_MOST, **index: int) -> DataFrame:
     """model, chunk, near: array of at most k (minus cosine, chunk), the nearest first, for chunks that have any.
 
     Rows that are not usable, or not the latest of their chunk and model, count for nothing; so do chunks
     without an id and models that models doesn't name. Cosines are rounded to 9 decimals; at equal ones the
-    smaller chunk goes first. Copies of one vector are each other's nearest. An empty table gives no rows;
-    other columns are ignored. index: sample, leaf_rows, trees of the forest.
+    smaller chunk goes first. Of more than k + 1 copies of one direction, in all the table, only those of the
+    smallest chunks are searched; the others' nearest are these copies. An empty table gives no rows; other
+    columns are ignored. index: sample, cell_rows, cell_most, trees, visits of to_cells.
     """
     tmp = Scratch(spark)
-    fitted = forests(embeddings, models, least, **index)
-    rows = latest(usable(embeddings, models))
-    placed, held = to_leaves(spark, rows, fitted)
+    vectors = Vectors(tmp, usable(embeddings, models), max(COPIES, k + 1))
+    placed = to_cells(spark, vectors.rows, vectors.counts, least, **index)
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        names = np.array(table["chunk"].to_pylist(), dtype=object)
-        a, b, c = nearest_in_leaf(names, leaf_vectors(table["vec"]), k, least)
+    def work(names: pa.Array, x: np.ndarray) -> pa.Table:
+        own = np.array(names.to_pylist(), dtype=object)
+        a, b, c = nearest_in_leaf(own, x, k, least)
         starts = np.r_[0, np.flatnonzero(np.diff(a)) + 1] if len(a) else np.zeros(0, np.int64)
-        near = pa.StructArray.from_arrays([pa.array(-c, pa.float64()), pa.array(names[b], pa.string())], names=["minus", "chunk"])
+        near = pa.StructArray.from_arrays([pa.array(-c, pa.float64()), names.take(pa.array(b))], names=["minus", "chunk"])
         lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(a)].astype(np.int32)), near)
-        return pa.table({"model": pa.array([key[0].as_py()] * len(starts), pa.string()), "chunk": pa.array(names[a[starts]], pa.string()), "near": lists})
+        return pa.table({"chunk": names.take(pa.array(a[starts])), "near": lists})
 
-    schema = "model string, chunk string, near array<struct<minus: double, chunk: string>>"
-    found = placed.drop("home").groupBy("model", "place").applyInArrow(run, schema)
+    found = by_cell(placed, work, "chunk string, near array<struct<minus: double, chunk: string>>", leaf_most, least)
+    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)  # a few lists of k a chunk
+    found = found.groupBy("model", "chunk").agg(merged.alias("near"))
+    if not vectors.held.limit(1).count():
+        return found
+    # a copy that was left out has the nearest of its first copy, all at cosine 1, and that one itself
     found = tmp.cut(found)
-    if held.value:
-        found = found.unionByName(_copies(spark, rows, fitted, k))
-    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
-    return found.groupBy("model", "chunk").agg(merged.alias("near"))
-
-
-def _copies(spark: SparkSession, rows: DataFrame, fitted: dict, k: int) -> DataFrame:
-    """For rows that were held back: the smallest of their copies."""
-    same, _ = to_leaves(spark, rows, fitted, only_copies=True)
-    w = Window.partitionBy("model", "vec").orderBy("chunk")
-    first = same.where("home").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1)
-    first = first.groupBy("model", "vec").agg(F.array_sort(F.collect_list("chunk")).alias("first"))
-    held = same.where("not home").select("model", "vec", "chunk")
-    near = F.slice(F.array_except("first", F.array("chunk")), 1, k)
-    return held.join(first, ["model", "vec"]).select("model", "chunk", F.transform(near, lambda c: F.struct(F.lit(-1.0).alias("minus"), c.alias("chunk"))).alias("near"))
+    first = found.join(vectors.held.select("model", F.col("first").alias("chunk")).distinct(), ["model", "chunk"])
+    first = first.select("model", F.col("chunk").alias("first"), F.array_sort(F.concat(F.array(F.struct(F.lit(-1.0).alias("minus"), "chunk")), "near")).alias("near"))
+    others = vectors.held.select("model", "chunk", "first").join(first, ["model", "first"])  # a row of first a copied direction
+    near = F.slice(F.filter("near", lambda n: n["chunk"] != F.col("chunk")), 1, k)
+    return found.unionByName(others.select("model", "chunk", near.alias("near")))

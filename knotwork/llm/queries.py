@@ -71,7 +71,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Each cluster with its size and its three most typical chunks."""
-    return _clusters(spark, sf)[1].select("cluster_id", "model", "size", F.array_join("typical", " ").alias("typical_chunks"))
+    return _clusters(spark, sf)[1].select("cluster_id", "model", "size", "n_communities", F.array_join("typical", " ").alias("typical_chunks"))
 
 
 def _nearest(spark: SparkSession, sf: str) -> DataFrame:
