@@ -72,13 +72,15 @@ def nearest(spark: SparkSession, embeddings: DataFrame, models: DataFrame, k: in
         own = np.array(names.to_pylist(), dtype=object)
         a, b, c = nearest_in_leaf(own, x, k, least)
         starts = np.r_[0, np.flatnonzero(np.diff(a)) + 1] if len(a) else np.zeros(0, np.int64)
-        near = pa.StructArray.from_arrays([pa.array(-c, pa.float64()), names.take(pa.array(b))], names=["minus", "chunk"])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(a)].astype(np.int32)), near)
-        return pa.table({"chunk": names.take(pa.array(a[starts])), "near": lists})
+        offsets = pa.array(np.r_[starts, len(a)].astype(np.int32))
+        minus = pa.ListArray.from_arrays(offsets, pa.array(-np.round(c * 1e9).astype(np.int64), pa.int64()).cast(pa.int32()))
+        return pa.table({"chunk": names.take(pa.array(a[starts])), "minus": minus, "near": pa.ListArray.from_arrays(offsets, names.take(pa.array(b)))})
 
-    found = by_cell(placed, work, "chunk string, near array<struct<minus: double, chunk: string>>", leaf_most, least)
-    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)  # a few lists of k a chunk
-    found = found.groupBy("model", "chunk").agg(merged.alias("near"))
+    # cosines as billionths: whole numbers of four bytes, for these lists are shuffled
+    found = by_cell(placed, work, "chunk string, minus array<int>, near array<string>", leaf_most, least)
+    pairs = F.arrays_zip(F.flatten(F.collect_list("minus")).alias("minus"), F.flatten(F.collect_list("near")).alias("chunk"))  # a few lists of k a chunk
+    found = found.groupBy("model", "chunk").agg(F.slice(F.array_sort(F.array_distinct(pairs)), 1, k).alias("near"))
+    found = found.withColumn("near", F.transform("near", lambda n: F.struct((n["minus"] / 1e9).alias("minus"), n["chunk"].alias("chunk"))))
     if not vectors.held.limit(1).count():
         return found
     # a copy that was left out has the nearest of its first copy, all at cosine 1, and that one itself
