@@ -44,7 +44,7 @@ def usable(embeddings: DataFrame, models: DataFrame) -> DataFrame:
     return rows.select("chunk", "model", "vec", "at", "id")
 
 
-def _hashes(rows: DataFrame) -> DataFrame:
+def hashed(rows: DataFrame) -> DataFrame:
     """rows and row_hash of the whole row, and direction: a hash that vectors share whose cosine is 1 when rounded to 9 decimals.
 
     The grid of directions is so fine that two vectors in one of its boxes have a cosine above 1 - 5e-10.
@@ -57,20 +57,31 @@ def _hashes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row_hash", whole).withColumn("direction", F.xxhash64(boxes))
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """Of each chunk and model the latest row; among equal times the greatest id. Tasks pass on one row of each before the shuffle."""
+    w = Window.partitionBy("chunk", "model").orderBy(F.col("at").desc_nulls_last(), F.col("id").desc_nulls_last())
+    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
 class Vectors:
     """The rows that count of a table of vectors: the latest of each chunk and model, and of copies the first few.
 
-    rows: chunk, model, vec, row_hash. held: model, chunk, first - the chunks that are left out, and the
-    smallest chunk of the same direction. Rows that are repeated as a whole stay repeated; cells drop them.
+    rows: chunk, model, vec, row_hash and what else the table has. held: model, chunk, first - the chunks that are left
+    out, and the smallest chunk of the same direction. Rows that are repeated as a whole stay repeated; cells drop them.
+    counts: the rows of each model.
     """
 
-    def __init__(self, tmp: Scratch, usable_rows: DataFrame, copies: int = COPIES):
-        rows = _hashes(usable_rows)
-        narrow = rows.drop("vec")
-        newest = narrow.groupBy("chunk", "model").agg(F.max(F.struct("at", "id", "row_hash", "direction")).alias("r"), F.count("*").alias("n"))
-        self.newest = newest = tmp.cut(newest.select("chunk", "model", "r.row_hash", "r.direction", "n"))
-        again = newest.where("n > 1").select("chunk", "model", F.col("row_hash").alias("latest"))
-        obsolete = narrow.join(again, ["chunk", "model"]).where("row_hash <> latest").select("row_hash")
+    def __init__(self, tmp: Scratch, usable_rows: DataFrame, copies: int = COPIES, unique: bool = False):
+        """unique: each chunk and model has one row already, written with its hashes."""
+        rows = usable_rows if unique else hashed(usable_rows)
+        if unique:
+            newest, obsolete = rows.select("chunk", "model", "row_hash", "direction"), None
+        else:
+            narrow = rows.drop("vec")
+            newest = narrow.groupBy("chunk", "model").agg(F.max(F.struct("at", "id", "row_hash", "direction")).alias("r"), F.count("*").alias("n"))
+            newest = tmp.cut(newest.select("chunk", "model", "r.row_hash", "r.direction", "n"))
+            again = newest.where("n > 1").select("chunk", "model", F.col("row_hash").alias("latest"))
+            obsolete = narrow.join(again, ["chunk", "model"]).where("row_hash <> latest").select("row_hash")
         heavy = newest.groupBy("model", "direction").agg(F.count("*").alias("copies"), F.min("chunk").alias("first")).where(F.col("copies") > copies)
         w = Window.partitionBy("model", "direction").orderBy("chunk")
         same = newest.join(heavy, ["model", "direction"])
@@ -78,8 +89,8 @@ class Vectors:
         kept = same.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= copies).select(F.col("chunk").alias("kept"), F.col("model").alias("kept_model"))
         out = same.join(kept, (F.col("chunk") == F.col("kept")) & (F.col("model") == F.col("kept_model")), "left_anti")
         self.held = tmp.cut(out.select("model", "chunk", "first", "row_hash"))
-        dropped = tmp.cut(obsolete.unionAll(self.held.select("row_hash")).distinct())
-        self.rows = rows.select("chunk", "model", "vec", "row_hash").join(dropped, "row_hash", "left_anti")
+        dropped = self.held.select("row_hash") if obsolete is None else tmp.cut(obsolete.unionAll(self.held.select("row_hash")).distinct())
+        self.rows = rows.join(dropped, "row_hash", "left_anti")
         self.counts = {r["model"]: r["n"] for r in newest.groupBy("model").agg(F.count("*").alias("n")).collect()}  # a row a model
 
 
