@@ -27,7 +27,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _WS = "\t-\r \x85\xa0  -     　"
 _UNIT = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _NONE = np.int64(1 << 60)
-_VECTOR_BYTES, _CACHE = 256, 400_000
+_VECTOR_BYTES = 256
+#: Bytes of the pieces and units that a process keeps, and of one that is kept at all.
+_CACHE_BYTES, _KEEP_BYTES = 96_000_000, 4_096
 _BATCH_CHARS = 2_000_000
 
 
@@ -51,6 +53,7 @@ class Encoder:
         self.pattern = regex.compile(PATTERN)
         self.pieces: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
+        self.held = 0
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
@@ -163,16 +166,26 @@ class Encoder:
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of int32."""
-        if len(self.units) > _CACHE or len(self.pieces) > _CACHE:
-            self.units, self.pieces = {}, {}
+        if self.held > _CACHE_BYTES:
+            self.units, self.pieces, self.held = {}, {}, 0
         split = [_UNIT.findall(t) for t in texts]
         new = set().union(*split).difference(self.units) if split else set()
         cut = {u: self.pattern.findall(u) for u in new}
-        self._learn({p for ps in cut.values() for p in ps}.difference(self.pieces))
+        fresh = {p for ps in cut.values() for p in ps}.difference(self.pieces)
+        self._learn(fresh)
         piece = self.pieces.__getitem__
-        self.units.update((u, b"".join(map(piece, ps))) for u, ps in cut.items())
+        made = {u: b"".join(map(piece, ps)) for u, ps in cut.items()}
+        self.units.update(made)
         unit = self.units.__getitem__
-        return [b"".join(map(unit, us)) for us in split]
+        out = [b"".join(map(unit, us)) for us in split]
+        for kept, names in ((self.units, made), (self.pieces, fresh)):
+            for k in names:
+                size = 4 * len(k) + len(kept[k])
+                if size > _KEEP_BYTES:
+                    del kept[k]
+                else:
+                    self.held += size + 200
+        return out
 
 
 _encoders: dict[int, Encoder] = {}
@@ -239,3 +252,17 @@ def count_tokens(spark: SparkSession, docs: DataFrame, keys: list[str], text: st
 
     rows = docs.select(*keys, text)
     return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", n_tokens long")
+
+
+def decoded(spark: SparkSession, ids: DataFrame, key: str, path: str = TOKENIZER_FILE) -> DataFrame:
+    """key and data, the bytes that the ids of each row stand for; no ids give no bytes, unknown ids are an error."""
+    ranks = _ranks_of(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = {int(r): base64.b64decode(t) for t, r in (line.split() for line in ranks.value.splitlines() if line)}
+        for batch in batches:
+            data = [b"".join(map(tokens.__getitem__, row or ())) for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=[key, "data"])
+
+    rows = ids.select(key, "ids")
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, data binary")

@@ -1,10 +1,10 @@
 """Mixing sources to target weights by entropy balancing.
 
-Rates of use are sought as close as possible, in entropy between 0 and the source's maximum, to one base
-rate for all documents, under one constraint for each source: its expected tokens are its share of the
-mix. The convex dual has one multiplier a source; the rates are exponential tilts of the base by document
-size, saturating at the maximum. The dual is solved by Newton steps over the distributed table of
-(source, size, number of documents), each step one small aggregate, kept inside a bracket.
+Rates of use are sought as close as possible, in entropy, to one base rate for all documents, under one
+constraint for each source: its expected tokens are its share of the mix. The convex dual has one multiplier
+a source; the rates are exponential tilts of the base by document size, cut off at the source's maximum. The
+dual is solved by Newton steps over the distributed table of (source, size, number of documents), each step
+one small aggregate, kept inside a bracket.
 Rates become copies by their whole part and one more where a hash of the document falls below the
 remainder; the threshold of the hash is moved, by a histogram, to where the tokens meet the target.
 """
@@ -24,9 +24,9 @@ def _of(values: dict[str, float]) -> Column:
 
 
 def _rate(cap: dict, scale: dict, base: dict, lam: dict) -> Column:
-    """cap / (1 + (cap / base - 1) exp(-lambda size / scale)), between 0 and cap."""
+    """base exp(lambda size / scale), at most cap."""
     x = F.col("n_tokens") / _of(scale)
-    return _of(cap) / (1 + (_of(cap) / _of(base) - 1) * F.exp(-F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), _of(lam) * x))))
+    return F.least(_of(cap), _of(base) * F.exp(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), _of(lam) * x))))
 
 
 def mix(spark: SparkSession, docs: DataFrame, targets: DataFrame, fraction: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -34,14 +34,14 @@ def mix(spark: SparkSession, docs: DataFrame, targets: DataFrame, fraction: floa
 
     docs: doc_id, source, n_tokens; targets: source (unique), target_share, max_repeats - a fixed table of few
     rows. copies: doc_id, source, n_tokens, rate, copies of each document that is used, at most max_repeats
-    times. shares: a row for each target with what was reached. Documents without tokens, with a null source
+    times. shares: a row for each target with what was reached, and one of source '(all)' with the sums. Documents without tokens, with a null source
     or one without a target are not used, but all tokens count for the mix' size. A source that can't reach
     its target with max_repeats gives all it may. Repeated doc_ids are documents of their own that are
     rounded alike; a target share or maximum that is null or not positive asks for nothing. Empty docs give
     no copies and shares of zero.
     """
     tmp = Scratch(spark)
-    docs = docs.select("doc_id", "source", "n_tokens")
+    docs = tmp.cut(docs.select("doc_id", "source", "n_tokens"))  # counted once
     want = {r["source"]: (float(r["target_share"]), float(r["max_repeats"])) for r in targets.collect() if r["source"] and (r["target_share"] or 0) > 0 and (r["max_repeats"] or 0) > 0}
     sizes = tmp.cut(docs.where("n_tokens > 0").groupBy("source", "n_tokens").agg(F.count("*").alias("n")))
     total = sizes.agg(F.sum(F.col("n") * F.col("n_tokens"))).first()[0] or 0
@@ -52,12 +52,12 @@ def mix(spark: SparkSession, docs: DataFrame, targets: DataFrame, fraction: floa
     full = {s for s in used if goal[s] >= want[s][1] * have[s][0]}  # all documents as often as they may be used
     cap = {s: want[s][1] for s in used}
     scale = {s: have[s][0] / have[s][1] for s in used}
-    base = {s: min(fraction, 0.5 * cap[s]) for s in used}
+    base = {s: min(fraction, cap[s]) for s in used}
     lam = {s: 0.0 for s in used}
     low, high, open_ = {s: -1e6 for s in used}, {s: 1e6 for s in used}, used - full
     for _ in range(ITERATIONS if open_ else 0):
         w, t = _rate(cap, scale, base, lam), F.col("n") * F.col("n_tokens")
-        step = sizes.where(F.col("source").isin(list(open_))).groupBy("source").agg(F.sum(w * t).alias("g"), F.sum(w * (1 - w / _of(cap)) * t * F.col("n_tokens") / _of(scale)).alias("h"))
+        step = sizes.where(F.col("source").isin(list(open_))).groupBy("source").agg(F.sum(w * t).alias("g"), F.sum(F.when(w < _of(cap), w * t * F.col("n_tokens") / _of(scale)).otherwise(0.0)).alias("h"))
         for r in step.collect():
             s, gap = r["source"], r["g"] - goal[r["source"]]
             if abs(gap) <= TOLERANCE * goal[s] + 1e-9:
@@ -100,4 +100,7 @@ def _shares(spark: SparkSession, copies: DataFrame, want: dict, goal: dict) -> D
     plan = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, target_tokens double")
     got = copies.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"), F.count("*").alias("n_docs"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_copies"))
     got = plan.join(F.broadcast(got), "source", "left").na.fill(0, ["tokens", "n_docs", "n_copies", "most_copies"])  # a row a target
-    return got.withColumn("actual_share", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.sum("tokens").over(Window.partitionBy(F.lit(0)))), F.lit(0.0)))
+    got = got.withColumn("actual_share", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.sum("tokens").over(Window.partitionBy(F.lit(0)))), F.lit(0.0)))
+    sums = [F.sum(c).alias(c) for c in ("target_share", "target_tokens", "tokens", "n_docs", "n_copies", "actual_share")]
+    whole = got.agg(*sums, F.max("max_repeats").alias("max_repeats"), F.max("most_copies").alias("most_copies")).withColumn("source", F.lit("(all)"))
+    return got.unionByName(whole.where("target_share is not null"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm.bpe import count_tokens, encode
+from knotwork.llm.bpe import count_tokens, decoded, encode
 from knotwork.llm.clusters import similarity_clusters
 from knotwork.llm.groups import named_groups
 from knotwork.llm.mixing import mix
@@ -36,16 +36,23 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
-    """The current source and doc chunks with their limits."""
-    s = table(spark, sf, "source_chunks").select(F.lit("source_chunks").alias("item_table"), "fl_id", "fl_created_at", code_key("fl_type").alias("t"), code_key("fl_language").alias("l"), F.col("fl_line_start").alias("first_line"), F.col("body").alias("content"))
-    d = table(spark, sf, "doc_chunks").select(F.lit("doc_chunks").alias("item_table"), "fl_id", "fl_created_at", code_key("fl_type").alias("t"), F.lit(None).cast("string").alias("l"), F.lit(1).alias("first_line"), "content")
-    rows = s.unionByName(d).where("fl_id is not null")
-    newest = rows.groupBy("item_table", "fl_id").agg(F.max(F.struct("fl_created_at", "content", "t", "l", "first_line")).alias("r")).select("item_table", F.col("fl_id").alias("item_id"), "r.*")
+    """The current source and doc chunks above their limits.
+
+    Which row of an item counts - the latest, of these the longest, then the one of the greatest md5 - is found
+    on rows without their text; only texts above their limit are shuffled.
+    """
+    s = table(spark, sf, "source_chunks").select(F.lit("source_chunks").alias("item_table"), F.col("fl_id").alias("item_id"), "fl_created_at", code_key("fl_type").alias("t"), code_key("fl_language").alias("l"), F.col("fl_line_start").alias("first_line"), F.col("body").alias("content"))
+    d = table(spark, sf, "doc_chunks").select(F.lit("doc_chunks").alias("item_table"), F.col("fl_id").alias("item_id"), "fl_created_at", code_key("fl_type").alias("t"), F.lit(None).cast("string").alias("l"), F.lit(1).alias("first_line"), "content")
     limits = table(spark, sf, "split_limits").select(code_key("fl_type").alias("lt"), code_key("fl_language").alias("ll"), "max_chars", "overlap_chars")  # a fixed table of few rows
     own = F.broadcast(limits.where("ll is not null").select("lt", "ll", F.col("max_chars").alias("m1"), F.col("overlap_chars").alias("o1")))
     rest = F.broadcast(limits.where("ll is null").select(F.col("lt").alias("rt"), F.col("max_chars").alias("m2"), F.col("overlap_chars").alias("o2")))
-    j = newest.join(own, (F.col("t") == F.col("lt")) & (F.col("l") == F.col("ll")), "left").join(rest, F.col("t") == F.col("rt"), "left")
-    return j.select("item_table", "item_id", "content", "first_line", F.coalesce("m1", "m2").alias("max_chars"), F.when(F.col("m1").isNotNull(), F.col("o1")).otherwise(F.col("o2")).alias("overlap_chars"))
+    rows = s.unionByName(d).where("item_id is not null").join(own, (F.col("t") == F.col("lt")) & (F.col("l") == F.col("ll")), "left").join(rest, F.col("t") == F.col("rt"), "left")
+    rows = rows.withColumn("max_chars", F.coalesce("m1", "m2")).withColumn("overlap_chars", F.when(F.col("m1").isNotNull(), F.col("o1")).otherwise(F.col("o2")))
+    rows = rows.withColumn("big", F.coalesce((F.col("max_chars") > 0) & (F.length("content") > F.col("max_chars")), F.lit(False)))
+    rows = rows.withColumn("order", F.struct("fl_created_at", F.length("content").alias("n"), F.md5(F.col("content").cast("binary")).alias("m"), "first_line", "max_chars", "overlap_chars"))
+    newest = rows.groupBy("item_table", "item_id").agg(F.max(F.struct("order", "big")).alias("r")).where("r.big").select("item_table", "item_id", "r.order")
+    texts = rows.where("big").join(newest, ["item_table", "item_id", "order"]).dropDuplicates(["item_table", "item_id"])
+    return texts.select("item_table", "item_id", "content", "first_line", "max_chars", "overlap_chars")
 
 
 def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,6 +64,17 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_pieces(spark, sf).where("piece = 0").select("item_table", "item_id")
 
 
+def p2_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """Each item put together again from its pieces: its text without the overlaps, its lines, and the number of pieces above the limit or out of order."""
+    limits = _items(spark, sf).select("item_table", "item_id", "max_chars")
+    p = p2_pieces(spark, sf).join(limits, ["item_table", "item_id"])
+    part = F.struct("piece", F.col("start_char"), F.col("end_char"), F.expr("substring(body, overlap + 1)").alias("new"), "line_start", "line_end")
+    whole = p.groupBy("item_table", "item_id").agg(F.array_sort(F.collect_list(part)).alias("p"), F.sum((F.length("body") > F.col("max_chars")).cast("int")).alias("long"))  # the pieces of one text
+    text = F.array_join("p.new", "")
+    gaps = F.expr("size(filter(p, (x, i) -> x.piece <> i or i > 0 and x.start_char > p[i - 1].end_char))")
+    return whole.select("item_table", "item_id", F.md5(text.cast("binary")).alias("content_md5"), F.length(text).cast("long").alias("n_chars"), (F.col("long") + gaps).cast("int").alias("n_faults"), F.col("p")[0]["line_start"].alias("line_start"), F.element_at("p", -1)["line_end"].alias("line_end"))
+
+
 def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     models = table(spark, sf, "embed_models")
     named = F.broadcast(models.select(code_key("model").alias("key"), "model"))  # a fixed table of few rows
@@ -74,6 +92,11 @@ def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return _clusters(spark, sf)[1].select("cluster_id", "model", "size", "n_communities", F.array_join("typical", " ").alias("typical_chunks"))
 
 
+def p5_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """The size of each cluster, as p5_clusters has it."""
+    return p5_clusters(spark, sf).select("cluster_id", F.col("size"))
+
+
 def _nearest(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(spark, table(spark, sf, "chunk_embeddings"), table(spark, sf, "embed_models"))
 
@@ -93,6 +116,11 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode(spark, table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p8_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """The text that the ids of each document stand for, by its hash."""
+    return decoded(spark, p8_ids(spark, sf), "doc_id").select("doc_id", F.md5("data").alias("text_md5"))
+
+
 def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The number of tokens of every document."""
     return count_tokens(spark, table(spark, sf, "documents"), ["doc_id"], "text")
@@ -116,7 +144,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentence_units(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found, "p6_neighbors": p6_neighbors, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rebuilt": p2_rebuilt, "p5_found": p5_found, "p5_clusters": p5_clusters, "p5_sizes": p5_sizes, "p6_found": p6_found, "p6_neighbors": p6_neighbors, "p8_ids": p8_ids, "p8_counts": p8_counts, "p8_decoded": p8_decoded, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 _GROUPS = f"""
 WITH RECURSIVE counted AS (SELECT * FROM concepts QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY seq DESC) = 1),
@@ -142,18 +170,22 @@ SELECT q AS chunk_id, min(o) AS cluster_id FROM reach GROUP BY model, q HAVING c
 """
 _TOO_LONG = f"""
 WITH rows AS (
-  SELECT 'source_chunks' AS item_table, fl_id, fl_created_at, {code_sql('fl_type')} AS t, {code_sql('fl_language')} AS l, body AS content FROM source_chunks
-  UNION ALL SELECT 'doc_chunks', fl_id, fl_created_at, {code_sql('fl_type')}, NULL, content FROM doc_chunks),
-newest AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY item_table, fl_id ORDER BY fl_created_at DESC, content DESC) = 1),
-lim AS (SELECT {code_sql('fl_type')} AS t, {code_sql('fl_language')} AS l, max_chars FROM split_limits)
-SELECT n.item_table, n.fl_id AS item_id FROM newest n LEFT JOIN lim a ON a.t = n.t AND a.l = n.l LEFT JOIN lim b ON b.t = n.t AND b.l IS NULL
-WHERE length(n.content) > coalesce(a.max_chars, b.max_chars)
+  SELECT 'source_chunks' AS item_table, fl_id, fl_created_at, {code_sql('fl_type')} AS t, {code_sql('fl_language')} AS l, fl_line_start AS first_line, body AS content FROM source_chunks
+  UNION ALL SELECT 'doc_chunks', fl_id, fl_created_at, {code_sql('fl_type')}, NULL, 1, content FROM doc_chunks),
+newest AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY item_table, fl_id ORDER BY fl_created_at DESC, length(content) DESC, md5(content) DESC, first_line DESC) = 1),
+lim AS (SELECT {code_sql('fl_type')} AS t, {code_sql('fl_language')} AS l, max_chars FROM split_limits),
+big AS (SELECT n.item_table, n.fl_id AS item_id, n.content, n.first_line, coalesce(a.max_chars, b.max_chars) AS max_chars FROM newest n LEFT JOIN lim a ON a.t = n.t AND a.l = n.l LEFT JOIN lim b ON b.t = n.t AND b.l IS NULL
+WHERE length(n.content) > coalesce(a.max_chars, b.max_chars))
 """
 
 ORACLES = {
     "p1_found": _GROUPS + "SELECT concept_id, group_id FROM groups",
     "p1_groups": _GROUPS + "SELECT * FROM groups",
-    "p2_found": _TOO_LONG,
+    "p2_found": _TOO_LONG + "SELECT item_table, item_id FROM big",
+    "p2_rebuilt": _TOO_LONG + """SELECT item_table, item_id, md5(content) AS content_md5, length(content) AS n_chars, 0 AS n_faults, coalesce(first_line, 1) AS line_start,
+  CAST(coalesce(first_line, 1) + length(regexp_replace(substr(content, 1, length(content) - 1), '\\r\\n|\\r|\\n', chr(1) || chr(1), 'g')) - length(regexp_replace(substr(content, 1, length(content) - 1), '\\r\\n|\\r|\\n', chr(1), 'g')) AS INTEGER) AS line_end FROM big""",
+    "p5_sizes": "SELECT cluster_id, count(*) AS size FROM (" + _ALIKE + ") GROUP BY 1",
+    "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "p5_found": _ALIKE,
     "p6_found": _NEAR + "SELECT DISTINCT model, least(q, o) AS chunk_a, greatest(q, o) AS chunk_b FROM n",
     "p6_neighbors": _NEAR + "SELECT model, q AS chunk_id, CAST(rank AS INTEGER) AS rank, o AS neighbor_id, c AS cosine FROM n",
