@@ -1,14 +1,18 @@
 """Parent-child links to full hierarchies, by contraction.
 
 Each partition follows its own links as far as they stay inside: a node's chain ends at a root, in a
-circle, or at a gate, the first node that lies in another partition. The distinct gates, far fewer than
-the nodes, form the quotient forest, which is solved in the same way until it fits one partition; then
-the gates' answers are put in front of the fragments. Where neighbours are so scattered that a level
-shrinks little, the quotient is finished by pointer doubling, which needs as many rounds as its depth
-has binary digits.
-
-Gates are looked up once each, and answers are brought back per (partition, gate), so a parent with a
-third of all nodes below it is nowhere one task's group.
+circle, or at a gate, the first node that lies in another partition. The distinct gates form the quotient
+forest, which is solved in the same way until it fits one partition; then the gates' answers are put in
+front of the fragments.
+
+First nodes are placed by ranges of ids, for ids that carry their time of birth are often near those of
+their parents. A quotient is placed by stars: a coin is thrown for each node, and where the parent's shows
+heads and the node's own tails, the node goes to its parent's partition. So a quarter of all links, however
+scattered, is contracted at each level, and the levels' sizes fall like a geometric series.
+
+Gates are looked up once each, answers are brought back per (partition, gate), and nodes whose parent is
+that of very many stay where they are, so a parent with a third of all nodes below it is nowhere one
+task's group.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from knotwork.scratch import Scratch
+from knotwork.skew import hot_values
 
 LINK, ROOT, CIRCLE = 0, 1, 2
 #: Nodes that one task contracts; about 100 bytes each, and their paths.
@@ -63,35 +68,25 @@ def _contract(paths: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
     return run
 
 
-def _double(q: DataFrame, tmp: Scratch, count: int, paths: bool) -> DataFrame:
-    """q with every link followed to its end."""
-    for _ in range(math.ceil(math.log2(count + 1)) + 1):
-        b = q.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("kind", "parent", "last", "w", "root", "path")])
-        far = F.col("b").isNotNull()
-        step = q.join(b, (F.col("parent") == F.col("b")) & (F.col("kind") == LINK), "left").select(
-            "id",
-            F.when(far, F.col("b_kind")).otherwise(F.col("kind")).alias("kind"),
-            F.when(far, F.col("b_parent")).otherwise(F.col("parent")).alias("parent"),
-            F.when(far, F.col("b_last")).otherwise(F.col("last")).alias("last"),
-            (F.col("w") + F.coalesce("b_w", F.lit(0))).alias("w"),
-            F.when(far, F.col("b_root")).otherwise(F.col("root")).alias("root"),
-            (F.when(far, F.concat("b_path", "path")).otherwise(F.col("path")) if paths else F.col("path")).alias("path"),
-        )
-        new = tmp.cut(step)
-        tmp.release(q)
-        q = new
-        if not q.where(F.col("kind") == LINK).limit(1).count():
-            break
-    return q.withColumn("kind", F.when(F.col("kind") == LINK, CIRCLE).otherwise(F.col("kind")))
+def _placed(nodes: DataFrame, count: int, rows: int, level: int) -> DataFrame:
+    """nodes in partitions of about rows, and the number of each one's partition, pid."""
+    parts = max(1, math.ceil(count / rows))
+    if parts == 1:
+        placed = nodes.coalesce(1)
+    elif level == 0:
+        placed = nodes.repartitionByRange(parts, "id")
+    else:
+        hot = hot_values(nodes.where(F.col("kind") == LINK), "parent")
+        heads = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(level)), F.lit(2)) == 0
+        joins = (F.col("kind") == LINK) & heads("parent") & ~heads("id") & (~F.col("parent").isin(hot) if hot else F.lit(True))
+        placed = nodes.withColumn("star", F.when(joins, F.col("parent")).otherwise(F.col("id"))).repartition(parts, "star").drop("star")
+    return placed.withColumn("pid", F.spark_partition_id())
 
 
 def _solve(nodes: DataFrame, tmp: Scratch, rows: int, paths: bool, level: int = 0) -> DataFrame:
     """id, kind, root, depth, path of nodes (id, kind, parent, last, w, root, path)."""
     count = nodes.count()
-    parts = max(1, math.ceil(count / rows))
-    # neighbours in the order of ids are often neighbours in the tree: ids that carry their time of birth are
-    placed = (nodes.repartitionByRange(parts, "id") if parts > 1 else nodes.coalesce(1)).withColumn("pid", F.spark_partition_id())
-    frag = tmp.cut(placed.mapInPandas(_contract(paths), _FRAGMENT))
+    frag = tmp.cut(_placed(nodes, count, rows, level).mapInPandas(_contract(paths), _FRAGMENT))
     gates = frag.where(F.col("kind") == LINK).select(F.col("gate").alias("g")).distinct()
     looked = tmp.cut(gates.join(frag, F.col("g") == F.col("id"), "left").select("g", "id", "kind", "gate", "last", "dist", "root", "path"))
     absent = looked.where("id is null").select(F.col("g").alias("absent"))
@@ -109,9 +104,7 @@ def _solve(nodes: DataFrame, tmp: Scratch, rows: int, paths: bool, level: int =
         )
     )
     size = q.count()
-    if size and not q.where(F.col("kind") == LINK).limit(1).count() or size > max(rows, 0.7 * count) or level > 40:
-        solved = _double(q, tmp, size, paths).select("id", "kind", "root", F.col("w").alias("depth"), "path")
-    elif size:
+    if size and q.where(F.col("kind") == LINK).limit(1).count():
         solved = _solve(q, tmp, rows, paths, level + 1)
     else:
         solved = q.select("id", "kind", "root", F.col("w").alias("depth"), "path")

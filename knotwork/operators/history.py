@@ -1,11 +1,13 @@
 """History of changing attributes: consecutive snapshots are differenced, their events get a period.
 
-A snapshot is one row per key. diff() compares two of them by a null-safe full outer join; histories are
-unions of such events, closed by the begin of the next one. Version rows are treated as a chain of
-per-key snapshots: the n-th state of a key is compared with its (n-1)-th in one full outer join.
-
-One key may hold a third of all rows, so nothing is ever sorted per key alone: order is made per key and
-day, and days are linked by their own small table.
+A snapshot is one row per key. diff() compares two of them by a null-safe full outer join that classifies
+inserted, changed, deleted and same keys; histories are unions of such events, closed by the begin of the
+next one. Version rows become daily snapshots, the last state of each key and day. Each is differenced with
+the key's snapshot before it; only the days in which a key has several states are differenced again by
+second, and the seconds with several states by instant.
+
+One key may hold a third of all rows, on one day if it must be: no window has more rows than a key has days,
+a day seconds or a second instants.
 """
 
 from __future__ import annotations
@@ -16,15 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def diff(before: DataFrame, after: DataFrame, keys: list[str], attrs: list[str]) -> DataFrame:
-    """keys, change ('inserted', 'changed', 'deleted', 'same'), and both values of each attribute as a_old and a_new.
+def diff(before: DataFrame, after: DataFrame, keys: list[str], attrs: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """keys, change ('inserted', 'changed', 'deleted', 'same'), both values of each attribute as a_old and a_new, and the columns carry of after.
 
     Nulls are values: a null key matches a null key, and null equals null in an attribute. Other columns of
     the inputs are left out, so clashing names do no harm. Keys must be unique within a side; an empty side
     gives only insertions or deletions.
     """
     b = before.select(*[F.col(k).alias(f"__b_{k}") for k in keys], *[F.col(a).alias(f"{a}_old") for a in attrs], F.lit(True).alias("__in_b"))
-    a = after.select(*[F.col(k).alias(f"__a_{k}") for k in keys], *[F.col(x).alias(f"{x}_new") for x in attrs], F.lit(True).alias("__in_a"))
+    a = after.select(*[F.col(k).alias(f"__a_{k}") for k in keys], *[F.col(x).alias(f"{x}_new") for x in attrs], *carry, F.lit(True).alias("__in_a"))
     on = reduce(lambda x, y: x & y, [F.col(f"__b_{k}").eqNullSafe(F.col(f"__a_{k}")) for k in keys])
     same = reduce(lambda x, y: x & y, [F.col(f"{x}_old").eqNullSafe(F.col(f"{x}_new")) for x in attrs], F.lit(True))
     change = F.when(F.col("__in_b").isNull(), "inserted").when(F.col("__in_a").isNull(), "deleted").when(same, "same").otherwise("changed")
@@ -32,15 +34,22 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str], attrs: list[str])
         *[F.when(F.col("__in_a").isNull(), F.col(f"__b_{k}")).otherwise(F.col(f"__a_{k}")).alias(k) for k in keys],
         change.alias("change"),
         *[c for x in attrs for c in (F.col(f"{x}_old"), F.col(f"{x}_new"))],
+        *carry,
     )
 
 
-def next_in_key(df: DataFrame, key: str, bucket: str, order: str, out: str) -> DataFrame:
-    """out = the next larger value of order in the key; buckets are ranges of order, so no key is sorted in one task."""
-    near = df.withColumn("__near", F.lead(order).over(Window.partitionBy(key, bucket).orderBy(order)))
-    heads = df.groupBy(key, bucket).agg(F.min(order).alias("__head"))
-    heads = heads.select(F.col(key).alias("__k"), F.col(bucket).alias("__u"), F.lead("__head").over(Window.partitionBy(key).orderBy(bucket)).alias("__far"))
-    return near.join(heads, (F.col(key) == F.col("__k")) & (F.col(bucket) == F.col("__u")), "left").withColumn(out, F.coalesce("__near", "__far")).drop("__near", "__far", "__k", "__u")
+def next_in_key(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
+    """out = the next larger value of order, a time, in the key: found in its second, or as the head of a later second or day."""
+    df = df.withColumn("__s", F.date_trunc("second", order)).withColumn("__d", F.to_date(order))
+    near = df.withColumn("__near", F.lead(order).over(Window.partitionBy(key, "__s").orderBy(order)))
+    seconds = df.groupBy(key, "__d", "__s").agg(F.min(order).alias("__head"))
+    days = seconds.groupBy(key, "__d").agg(F.min("__head").alias("__first"))
+    days = days.select(F.col(key).alias("__dk"), F.col("__d").alias("__dd"), F.lead("__first").over(Window.partitionBy(key).orderBy("__d")).alias("__later"))
+    seconds = seconds.withColumn("__far", F.lead("__head").over(Window.partitionBy(key, "__d").orderBy("__s")))
+    seconds = seconds.join(days, (F.col(key) == F.col("__dk")) & (F.col("__d") == F.col("__dd")))
+    seconds = seconds.select(F.col(key).alias("__k"), F.col("__s").alias("__u"), F.coalesce("__far", "__later").alias("__far"))
+    joined = near.join(seconds, (F.col(key) == F.col("__k")) & (F.col("__s") == F.col("__u")))
+    return joined.withColumn(out, F.coalesce("__near", "__far")).drop("__near", "__far", "__k", "__u", "__s", "__d")
 
 
 def history_of_snapshots(snapshots: list[tuple[object, DataFrame]], keys: list[str], attrs: list[str]) -> DataFrame:
@@ -72,22 +81,24 @@ def history_of_versions(versions: DataFrame, key: str, version: str, at: str, se
     pack = F.struct("k", "t", "v", "s", *attrs)
     counted = rows.groupBy(F.coalesce(F.concat(F.lit("v"), "v"), F.concat(F.lit("s"), F.col("s").cast("string"), F.lit("k"), F.coalesce("k", F.lit("")))).alias("g")).agg(F.max_by(pack, "s").alias("r")).select("r.*")
     counted = counted.where(F.col("k").isNotNull() & F.col("t").isNotNull())
-    states = counted.groupBy("k", "t").agg(F.max_by(F.struct("v", *attrs), "s").alias("r")).select("k", "t", F.to_date("t").alias("d"), "r.*")
-    # the place of each state in its key: place in the day plus the states of earlier days
-    days = states.groupBy("k", "d").agg(F.count("*").alias("n"))
-    past = Window.partitionBy("k").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(F.col("k").alias("dk"), F.col("d").alias("dd"), F.coalesce(F.sum("n").over(past), F.lit(0)).alias("earlier"))
-    placed = states.withColumn("i", F.row_number().over(Window.partitionBy("k", "d").orderBy("t"))).join(days, (F.col("k") == F.col("dk")) & (F.col("d") == F.col("dd"))).withColumn("n", F.col("i") + F.col("earlier"))
-    after = placed.select("k", "n", "d", "t", "v", *attrs)
-    before = placed.select("k", (F.col("n") + 1).alias("n"), *attrs)
-    events = next_in_key(_chain(before, after, list(attrs)), "k", "d", "t", "valid_to")
+    states = counted.groupBy("k", "t").agg(F.max_by(F.struct("v", *attrs), "s").alias("r")).select("k", "t", "r.*")
+    events = next_in_key(_events(states, list(attrs)), "k", "t", "valid_to")
     return events.select(F.col("k").alias(key), F.col("v").alias(version), *attrs, F.col("t").alias("valid_from"), "valid_to")
 
 
-def _chain(before: DataFrame, after: DataFrame, attrs: list[str]) -> DataFrame:
-    """The states of after that are new in their key or differ from the one before."""
-    b = before.select(F.col("k").alias("bk"), F.col("n").alias("bn"), *[F.col(a).alias(f"{a}_old") for a in attrs])
-    both = after.join(b, F.col("k").eqNullSafe(F.col("bk")) & F.col("n").eqNullSafe(F.col("bn")), "full_outer")
-    same = reduce(lambda x, y: x & y, [F.col(a).eqNullSafe(F.col(f"{a}_old")) for a in attrs], F.lit(True))
-    change = F.when(F.col("bk").isNull(), "inserted").when(F.col("k").isNull(), "last").when(same, "same").otherwise("changed")
-    return both.withColumn("change", change).where(F.col("change").isin("inserted", "changed")).select("k", "d", "t", "v", *attrs)
+def _events(states: DataFrame, attrs: list[str]) -> DataFrame:
+    """k, t, v, attrs of the states (one a key and instant) that are their key's first or differ from the one before."""
+    states = states.withColumn("day", F.to_date("t")).withColumn("second", F.date_trunc("second", "t")).withColumn("instant", F.col("t"))
+    found, group, seeds = [], ["k"], None
+    for period in ("day", "second", "instant"):
+        snaps = states.groupBy(*group, period).agg(F.max(F.struct("t", "v", *attrs)).alias("r"), F.count("*").alias("n")).select(*group, period, "n", "r.*")
+        snaps = snaps.withColumn("j", F.row_number().over(Window.partitionBy(*group).orderBy(period)))
+        before = snaps.select(*group, (F.col("j") + 1).alias("j"), *attrs)
+        before = before if seeds is None else before.unionByName(seeds)
+        d = diff(before, snaps, [*group, "j"], attrs, (period, "n", "t", "v"))
+        found.append(d.where((F.col("n") == 1) & F.col("change").isin("inserted", "changed")).select("k", "t", "v", *[F.col(f"{a}_new").alias(a) for a in attrs]))
+        several = d.where("n > 1")
+        group = [*group, period]
+        states = states.join(several.select(*group), group, "left_semi")
+        seeds = several.where("change <> 'inserted'").select(*group, F.lit(1).alias("j"), *[F.col(f"{a}_old").alias(a) for a in attrs])
+    return reduce(DataFrame.unionByName, found)

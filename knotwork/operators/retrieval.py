@@ -1,7 +1,5 @@
-"""Keyword and vector lanes, their fusion, and the adjustments of a ranking (RT1-RT15, RT17, ST1, WN3-WN6).
+"""Keyword and vector lanes, their fusion, and the adjustments of a ranking (RT1-RT6, RT9-RT14, RT17, ST1, WN3-WN6).
 
-A query has few terms, so a keyword lane needs no inverted index shuffled by term: one pass counts the terms
-of every text, one aggregate of a single row has the corpus' figures, and scores are an expression.
 Every limit has the id as its last key.
 """
 
@@ -13,46 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions.scalars import cosine_distance
-from knotwork.scratch import Scratch
+from knotwork.operators.keywords import build_index
 
-# The parameters of the ranking function and of the fusions.
-K1, B, IDF_FLOOR, RRF_K, BM25_HALF = 1.2, 0.75, 1e-6, 60, 30
-
-
-def tokens(text: Column | str) -> Column:
-    """Small letters and digits; everything else divides. Accents are not folded (a simplification)."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
-
-
-def _spaced(text: str) -> Column:
-    """The tokens of a text with two blanks between them, so that each has blanks of its own."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+", "  "))
+# The parameters of the fusions.
+RRF_K, BM25_HALF = 60, 30
 
 
 def bm25(texts: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """RT1: key and rank (below 0, the least the best) of the texts that hold a term.
-
-    The corpus' figures are those of all texts; filters belong behind. Without terms there are no rows.
-    Terms are counted by what a text loses when they are taken out of it, which needs no array of tokens.
-    """
-    if not terms:
-        return texts.select(key, F.lit(0.0).alias("rank")).where("false")
-    n = F.length("t")
-    # the generator keeps the optimizer from writing the pattern into each of the counts
-    spaced = texts.select(key, F.explode(F.array(_spaced(text))).alias("t")).select(key, F.when(n == 0, 0).otherwise((n - F.length(F.replace("t", F.lit("  ")))) / 2 + 1).cast("int").alias("len"), F.concat(F.lit(" "), "t", F.lit(" ")).alias("t"))
-    counted = spaced.select(key, "len", *[((F.length("t") - F.length(F.replace("t", F.lit(f" {q} ")))) / (len(q) + 2)).cast("int").alias(f"tf{i}") for i, q in enumerate(terms)])
-    counted = Scratch(texts.sparkSession).cut(counted)  # texts are read and taken apart once; what stays is a few numbers each
-    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    hit = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
-
-    def part(i: int) -> Column:
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
-        return F.when(idf <= 0, IDF_FLOOR).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-
-    scored = counted.where(hit).join(F.broadcast(stats))  # one row
-    return scored.select(key, (-reduce(lambda a, b: a + b, [part(i) for i in range(len(terms))])).alias("rank"))
+    """RT1 over texts that have no index yet: it is made and asked once. Ask a kept index for more."""
+    return build_index(texts.sparkSession, texts, key, text).search(terms)
 
 
 def top(df: DataFrame, by: Column, key: str, k: int) -> DataFrame:
@@ -65,8 +32,11 @@ def ranked(df: DataFrame, by: Column, key: str, k: int) -> DataFrame:
     return top(df, by, key, k).withColumn("pos", F.row_number().over(Window.orderBy(by, F.col(key))) - 1)
 
 
-def vector_distances(vectors: DataFrame, key: str, vector: str, query: list[float]) -> DataFrame:
-    """RT2: the cosine distance of every vector to the query, exactly; the query is a literal, so nothing is shuffled."""
+def vector_distances(vectors: DataFrame, key: str, vector: str, query: list[float] | DataFrame) -> DataFrame:
+    """RT2: the cosine distance of every vector to the query, exactly; the query is a literal or one row with q, so nothing is shuffled."""
+    if isinstance(query, DataFrame):
+        near = vectors.join(F.broadcast(query)).withColumn("distance", cosine_distance(vector, "q"))  # one row
+        return near.select(key, *[c for c in vectors.columns if c not in (key, vector)], "distance")
     q = F.array(*[F.lit(float(x)) for x in query])
     return vectors.withColumn("distance", cosine_distance(vector, q)).select(key, *[c for c in vectors.columns if c not in (key, vector)], "distance")
 

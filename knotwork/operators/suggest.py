@@ -102,3 +102,41 @@ def put_together(kinds: list[DataFrame], order: list[str], most: int) -> DataFra
     """SL4: all suggestions (id, kind, confidence) in order of kind, then confidence, then id."""
     rank = F.element_at(F.create_map(*[x for i, k in enumerate(order) for x in (F.lit(k), F.lit(i))]), F.col("kind"))
     return reduce(DataFrame.unionByName, kinds).withColumn("priority", rank).orderBy("priority", F.desc("confidence"), "id").limit(most)
+
+
+def narratives_to_settle(narratives: DataFrame, now: Column, dangling_days: int = 3) -> DataFrame:
+    """SG1: close-narrative of those that are closing, whose close failed, or that are open for too long with entries; abandon-narrative of those without.
+
+    narratives: id, status, opened_at, entry_count.
+    """
+    late = F.timestamp_diff("SECOND", F.col("opened_at"), now) > dangling_days * 86400
+    kind = F.when(F.col("status").isin("closing", "close_failed"), "close-narrative").when((F.col("status") == "open") & late, F.when(F.col("entry_count") > 0, "close-narrative").otherwise("abandon-narrative"))
+    return narratives.select("id", kind.alias("kind"), F.lit(1.0).alias("confidence")).where("kind is not null")
+
+
+def relations_to_clean(relations: DataFrame, concepts: DataFrame) -> DataFrame:
+    """SG1: id (of the far end), from_id: relations that lead to a concept (id, status) that is not active any more."""
+    gone = concepts.where("status is not null and status <> 'active'").select(F.col("id").alias("to_id"))
+    return relations.join(gone, "to_id").select(F.col("to_id").alias("id"), "from_id", F.lit("clean-relation").alias("kind"), F.lit(1.0).alias("confidence"))
+
+
+def of_kinds(suggestions: DataFrame, kinds: list[str] | None) -> DataFrame:
+    """PF11: those of some kinds; all without any."""
+    return suggestions.where(F.col("kind").isin(kinds)) if kinds else suggestions
+
+
+def with_impact(suggestions: DataFrame, pressures: DataFrame, fractions: dict[str, float], fiedler: float, raw_debt: float, debt: float) -> DataFrame:
+    """SG1: what a suggestion would take off the debt: its concept's pressure (id, pressure) times its kind's fraction over 1 + fiedler, scaled from raw to shown debt."""
+    share = F.coalesce(F.create_map(*[F.lit(x) for kv in fractions.items() for x in kv])[F.col("kind")], F.lit(0.0))
+    raw = F.coalesce("pressure", F.lit(0.0)) * share / (1 + fiedler)
+    points = raw / raw_debt * debt if raw_debt > 0 else raw
+    return suggestions.join(pressures.select("id", "pressure"), "id", "left").drop("__p").withColumn("raw_reduction", raw).withColumn("reduction", points).drop("pressure")
+
+
+def debt_reducers(suggestions: DataFrame, debt: float, most: int = 3) -> DataFrame:
+    """SL4: the suggestions that take off the most, then by priority, confidence and id, each with the debt that is left behind it."""
+    order = [F.desc(F.round("reduction", 9)), F.col("priority"), F.desc("confidence"), F.col("id"), F.col("kind")]
+    top = suggestions.where(F.round("reduction", 9) > 0).orderBy(*order).limit(most)
+    w = Window.orderBy(*order)  # most rows
+    left = F.greatest(F.lit(0.0), F.lit(debt) - F.sum("reduction").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return top.withColumn("pos", F.row_number().over(w)).withColumn("debt_left", left)

@@ -10,6 +10,7 @@ from knotwork.operators import coverage as C
 from knotwork.operators import graph as G
 from knotwork.operators import health as H
 from knotwork.operators import interactions as I
+from knotwork.operators import keywords as K
 from knotwork.operators import lifecycle as L
 from knotwork.operators import queues as Q
 from knotwork.operators import retrieval as R
@@ -44,18 +45,37 @@ _TF = ", ".join(f"len(list_filter(t, lambda x: x = '{q}')) AS tf{i}" for i, q in
 _DF = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(TERMS)))
 _PART = " + ".join(f"(CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{i} + 0.5) / (df{i} + 0.5)) END) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * l / avgdl))" for i in range(len(TERMS)))
 _HIT = " OR ".join(f"tf{i} > 0" for i in range(len(TERMS)))
-_BM25 = f"""WITH tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents),
+_BM25 = f"""WITH tok AS (SELECT doc_id, {K.tokens_sql('text')} AS t FROM documents),
 tf AS (SELECT doc_id, len(t) AS l, {_TF} FROM tok), st AS (SELECT count(*) AS n, avg(l) AS avgdl, {_DF} FROM tf),
 bm AS (SELECT doc_id, -({_PART}) AS rank FROM tf, st WHERE {_HIT})"""
 
 
+def _index(spark: SparkSession, sf: str) -> K.KeywordIndex:
+    """The index of the documents, kept in the session."""
+    return K.kept_index(spark, f"{sf}/documents", table(spark, sf, "documents"), "doc_id", "text")
+
+
 def _bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.bm25(table(spark, sf, "documents"), "doc_id", "text", TERMS))
+    return _rounded(_index(spark, sf).search(TERMS))
 
 
-@query(_BM25 + " SELECT doc_id, round(rank, 6) AS rank FROM bm ORDER BY 2, 1 LIMIT 20")
+@query(_BM25 + " SELECT doc_id, round(rank, 6) AS rank FROM bm JOIN documents USING (doc_id) ORDER BY 2, created_at DESC NULLS LAST, doc_id LIMIT 20")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top(_bm25(spark, sf), F.col("rank"), "doc_id", 20)
+    """RT1, SL2: among equals the newest first."""
+    d = table(spark, sf, "documents").select("doc_id", "created_at")
+    return K.newest_first(_bm25(spark, sf).join(d, "doc_id"), F.col("rank"), "created_at", "doc_id", 20).select("doc_id", "rank")
+
+
+_OTHER_TERMS = ["snapshot", "стать", "устаревшие", "κύκλο", "während", "requête", "概念", "حالة"]
+_OTHER = _BM25[: _BM25.index("tf AS (")] + f"""q AS (SELECT unnest({K.tokens_sql("'" + ' '.join(_OTHER_TERMS) + "'")}) AS term), u AS (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM tok), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+hit AS (SELECT doc_id, l, term, count(*) AS tf FROM u JOIN (SELECT DISTINCT term FROM q) USING (term) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM hit GROUP BY 1),
+bm AS (SELECT doc_id, -sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avgdl))) AS rank FROM hit JOIN df USING (term), st GROUP BY 1)"""
+
+
+@query(_OTHER + " SELECT doc_id, round(rank, 6) AS rank FROM bm")
+def bm25_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """RT1 with words of several scripts, accents folded on both sides; all hits."""
+    return _rounded(_index(spark, sf).search(K.query_tokens(" ".join(_OTHER_TERMS))))
 
 
 @query(_BM25 + " SELECT doc_id, round(rank, 6) AS rank, fl_type FROM bm JOIN documents USING (doc_id) WHERE fl_type = 'journal' ORDER BY 2, 1 LIMIT 20")
@@ -70,8 +90,8 @@ v AS (SELECT vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE[]
 
 def _distances(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    first = e.orderBy("vec_id").select("embedding").first()[0]
-    return _rounded(R.vector_distances(e, "vec_id", "embedding", list(first)))
+    first = e.agg(F.min_by("embedding", "vec_id").alias("q"))
+    return _rounded(R.vector_distances(e, "vec_id", "embedding", first))
 
 
 @query(_VEC + " SELECT vec_id, distance FROM v ORDER BY distance, vec_id LIMIT 20")
@@ -145,7 +165,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY narrative ORDER BY score DESC, d
 t AS (SELECT * FROM k ORDER BY score DESC, doc_id LIMIT 30) SELECT narrative, doc_id, score, place, max(score) OVER (PARTITION BY narrative) AS group_score FROM t""")
 def journal_trail(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").where("fl_type = 'journal' and source is not null").select("doc_id", F.lower(F.trim("source")).alias("narrative"))
-    e = R.bm25(table(spark, sf, "documents"), "doc_id", "text", TERMS).join(d, "doc_id").select("narrative", "doc_id", F.round(-F.col("rank") / 20, 6).alias("score"))
+    e = _index(spark, sf).search(TERMS).join(d, "doc_id").select("narrative", "doc_id", F.round(-F.col("rank") / 20, 6).alias("score"))
     return R.journal_trail(e, "narrative", "doc_id")
 
 
@@ -635,13 +655,26 @@ _SDF = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(3))
 _SPART = " + ".join(f"(CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{i} + 0.5) / (df{i} + 0.5)) END) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * l / avgdl))" for i in range(3))
 
 
-@query(with_("sym") + f""", tok AS (SELECT id, list_filter(regexp_split_to_array(lower(regexp_replace(concat_ws(' ', name, qualified_name, signature), '([A-Z])', ' \\1', 'g')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM sym),
-tf AS (SELECT id, len(t) AS l, {_STF} FROM tok), st AS (SELECT count(*) AS n, avg(l) AS avgdl, {_SDF} FROM tf)
-SELECT id, round(-({_SPART}), 6) AS rank FROM tf, st WHERE tf0 > 0 OR tf1 > 0 OR tf2 > 0 ORDER BY 2, 1 LIMIT 20""")
+def _symbol_index(spark: SparkSession, sf: str) -> K.KeywordIndex:
+    s = M.symbols(spark, sf).select("id", "kind", F.regexp_replace(F.concat_ws(" ", "name", "qualified_name", "signature"), "([A-Z])", " $1").alias("text"))
+    return K.kept_index(spark, f"{sf}/symbols", s, "id", "text", ("kind",))
+
+
+_SYMBOL_SEARCH = with_("sym") + f""", tok AS (SELECT id, {K.tokens_sql("regexp_replace(concat_ws(' ', name, qualified_name, signature), '([A-Z])', ' " + chr(92) + "1', 'g')")} AS t, kind FROM sym),
+tf AS (SELECT id, kind, len(t) AS l, {_STF} FROM tok), st AS (SELECT count(*) AS n, avg(l) AS avgdl, {_SDF} FROM tf),
+found AS (SELECT id, kind, round(-({_SPART}), 6) AS rank FROM tf, st WHERE tf0 > 0 OR tf1 > 0 OR tf2 > 0)"""
+
+
+@query(_SYMBOL_SEARCH + " SELECT id, rank FROM found WHERE kind = 'function' ORDER BY 2, 1 LIMIT 20")
+def symbol_search_kind(spark: SparkSession, sf: str) -> DataFrame:
+    """RT4 with a kind: the corpus' figures are still those of all symbols."""
+    return R.top(_rounded(_symbol_index(spark, sf).search(_SYMBOL_TERMS, "kind")).where("kind = 'function'"), F.col("rank"), "id", 20).select("id", "rank")
+
+
+@query(_SYMBOL_SEARCH + " SELECT id, rank FROM found ORDER BY 2, 1 LIMIT 20")
 def symbol_search(spark: SparkSession, sf: str) -> DataFrame:
     """RT4: keyword search over names and signatures, whose parts are words of their own."""
-    s = M.symbols(spark, sf).select("id", F.regexp_replace(F.concat_ws(" ", "name", "qualified_name", "signature"), "([A-Z])", " $1").alias("text"))
-    return R.top(_rounded(R.bm25(s, "id", "text", _SYMBOL_TERMS)), F.col("rank"), "id", 20)
+    return R.top(_rounded(_symbol_index(spark, sf).search(_SYMBOL_TERMS)), F.col("rank"), "id", 20)
 
 
 _SIGNALS = "sg AS (SELECT c_nationkey % 12 AS concept, sum(o_totalprice) / 1e6 AS ppr, 0.5 + (c_nationkey % 3) / 6.0 AS confidence, c_nationkey = 3 AS seed FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey)"

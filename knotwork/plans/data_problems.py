@@ -72,7 +72,7 @@ def _node_table(c: str) -> F.Column:
 
 
 def _bare(c: str) -> F.Column:
-    return F.substring(c, 2, 1_000)
+    return F.expr(f"substring({c}, 2)")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +82,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 def p7_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     """Path, depth, root and number of descendants of every node."""
     d = described(_both(spark, sf, True))
-    return d.select(_node_table("id").alias("node_table"), _bare("id").alias("node_id"), _bare("root_id").alias("root_id"), "depth", F.array_join(F.transform("path", lambda x: F.substring(x, 2, 1_000)), "/").alias("path"), "n_descendants")
+    return d.select(_node_table("id").alias("node_table"), _bare("id").alias("node_id"), _bare("root_id").alias("root_id"), "depth", F.array_join(F.expr("transform(path, x -> substring(x, 2))"), "/").alias("path"), "n_descendants")
 
 
 def p7_descendants(spark: SparkSession, sf: str) -> DataFrame:

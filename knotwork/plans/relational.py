@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import scalars as S
+from knotwork.operators.keywords import tokens, tokens_sql
 from knotwork.operators import coverage as C
 from knotwork.operators import views as V
 from knotwork.plans import mapping as M
@@ -309,11 +310,9 @@ def symbol_lines(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("fl_id", S.lines_between("body", F.lit(2), F.lit(4)).alias("body")).where("body is not null")
 
 
-@query(r"""WITH t AS (SELECT narrative, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 6))) AS term FROM (SELECT code AS narrative, text FROM (SELECT lower(trim(source)) AS code, text FROM documents WHERE source IS NOT NULL AND text IS NOT NULL)))
+@query(r"""WITH t AS (SELECT narrative, unnest(list_distinct(list_filter(""" + tokens_sql("text") + r""", lambda x: length(x) > 6))) AS term FROM (SELECT code AS narrative, text FROM (SELECT lower(trim(source)) AS code, text FROM documents WHERE source IS NOT NULL AND text IS NOT NULL)))
 SELECT term, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, term LIMIT 25""")
 def summary_terms(spark: SparkSession, sf: str) -> DataFrame:
     """SF9: the most frequent long words, one a text, a top-25 report."""
-    from knotwork.operators.retrieval import tokens
-
     d = table(spark, sf, "documents").where("source is not null and text is not null").select(F.explode(F.array_distinct(F.filter(tokens("text"), lambda x: F.length(x) > 6))).alias("term"))
     return d.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(25)
