@@ -13,13 +13,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where nothing is set (tests, one machine) a folder of our own."""
+    """spark.checkpoint.dir of the session; where nothing is set a folder of our own, on one machine only: on a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="knotwork-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="knotwork-")
+    return _own[app]
 
 
 class Scratch:
@@ -40,6 +47,8 @@ class Scratch:
         out = self.spark.read.schema(df.schema).parquet(path)
         self._at[id(out)] = path
         self._keep = [*getattr(self, "_keep", []), out]
+        # the shuffles behind a written table are free from here on; without a collection they would lie on disk until the driver's next one
+        self.spark._jvm.System.gc()
         return out
 
     def release(self, *dfs: DataFrame | None) -> None:

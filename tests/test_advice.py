@@ -7,6 +7,7 @@ import pytest
 
 from knotwork.operators import graph as G
 from knotwork.plans import analytics
+from knotwork.scratch import Scratch
 
 
 def test_pairs_of_every_model(spark, tmp_path):
@@ -49,11 +50,12 @@ def test_gaps_of_more_than_two_thousand_clusters(spark):
 
 @pytest.mark.parametrize("case", ["no ids", "one id", "one row"])
 def test_the_fitting_sample_is_bounded_whatever_the_ids(spark, monkeypatch, case):
-    vectors = pytest.importorskip("knotwork.llm.vectors")
+    vectors, forest = pytest.importorskip("knotwork.llm.vectors"), pytest.importorskip("knotwork.llm.forest")
     seen = []
-    monkeypatch.setattr(vectors, "fit_forest", lambda x, *rest: seen.append(len(x)))
     one = "cast(null as string)" if case == "no ids" else "'E1'"
     angle = "1" if case == "one row" else "id"
     e = spark.range(20_000).selectExpr(f"{one} id", f"concat('C', {angle}) chunk_id", "timestamp_ntz'2024-01-01 00:00:00' embedded_at", f"array(float(sin({angle})), float(cos({angle}))) embedding", "'m' model")
-    vectors.forests(e, spark.createDataFrame([("m", 2)], "model string, dim int"), 0.8, sample=500)
+    monkeypatch.setattr(vectors, "fit_forest", lambda x, *rest: seen.append(len(x)) or forest.fit_forest(x, *rest))
+    found = vectors.Vectors(Scratch(spark), vectors.usable(e, spark.createDataFrame([("m", 2)], "model string, dim int")))
+    vectors.to_cells(spark, found.rows, found.counts, 0.8, sample=500)
     assert seen[0] <= 1 if case == "one row" else 350 <= seen[0] <= 650
