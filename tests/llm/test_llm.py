@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from knotwork.llm import bpe, clusters, forest, groups, mixing, neighbors, sentences, splitting, vectors
+from knotwork.llm import bpe, clusters, forest, groups, lexicon, mixing, neighbors, sentences, splitting, vectors
 
 needs_tokenizer = pytest.mark.skipif(not Path(bpe.TOKENIZER_FILE).exists(), reason="no tokenizer file")
 
@@ -152,15 +152,46 @@ def test_nearest_exact_in_one_leaf_and_recall_in_many(spark):
     want = truth(x, ids)
     got = {r["chunk"]: [n["chunk"] for n in r["near"]] for r in neighbors.nearest(spark, emb, models).collect()}
     assert got == want
-    some = {r["chunk"]: {n["chunk"] for n in r["near"]} for r in neighbors.nearest(spark, emb, models, leaf_rows=100, sample=300).collect()}
+    some = {r["chunk"]: {n["chunk"] for n in r["near"]} for r in neighbors.nearest(spark, emb, models, leaf_most=200, cell_rows=60, sample=300).collect()}
     hits = sum(len(set(v) & some.get(k, set())) for k, v in want.items())
     assert hits / sum(map(len, want.values())) >= 0.9
 
 
+def test_cells_are_divided_again(spark):
+    x = blobs(3000)
+    ids, emb, models = frames(spark, x)
+    want = truth(x, ids)
+    got = {r["chunk"]: {n["chunk"] for n in r["near"]} for r in neighbors.nearest(spark, emb, models, cell_rows=120, cell_most=400, sample=160).collect()}
+    hits = sum(len(set(v) & got.get(k, set())) for k, v in want.items())
+    assert hits / sum(map(len, want.values())) >= 0.9
+
+
+def test_a_leaf_that_no_tree_divides():
+    same = np.tile(np.eye(1, 8, dtype=np.float32), (500, 1))
+    parts = vectors.leaves_within(same, 100, 0.8)
+    assert sorted(np.concatenate(parts)) == list(range(500))
+
+
 def test_nearest_of_many_copies(spark):
     x = np.concatenate([np.tile(np.arange(1.0, 17.0, dtype=np.float32), (40, 1)), blobs(60)])
     ids, emb, models = frames(spark, x)
-    got = {r["chunk"]: [n["chunk"] for n in r["near"]] for r in neighbors.nearest(spark, emb.coalesce(1), models).collect()}
+    for df in (emb.coalesce(1), emb.repartition(7)):  # the copies lie in one batch, and in several
+        got = {r["chunk"]: [n["chunk"] for n in r["near"]] for r in neighbors.nearest(spark, df, models).collect()}
+        assert got == truth(x, ids)
+
+
+def test_copies_of_other_lengths_have_one_direction(spark):
+    v = np.arange(1.0, 17.0)
+    x = np.concatenate([[v * (1 + i % 5) for i in range(30)], blobs(40)]).astype(np.float32)
+    ids, emb, models = frames(spark, x)
+    got = {r["chunk"]: [n["chunk"] for n in r["near"]] for r in neighbors.nearest(spark, emb, models).collect()}
+    assert got == truth(x, ids)
+
+
+def test_rows_repeated_as_a_whole(spark):
+    x = blobs(60)
+    ids, emb, models = frames(spark, x)
+    got = {r["chunk"]: [n["chunk"] for n in r["near"]] for r in neighbors.nearest(spark, emb.union(emb).union(emb), models).collect()}
     assert got == truth(x, ids)
 
 
@@ -169,20 +200,35 @@ def test_nearest_of_nothing(spark):
     assert neighbors.nearest(spark, emb.limit(0), models).count() == 0
 
 
-def test_routes_stay_in_the_tree():
+def test_places_lie_in_the_trees_and_differ():
     x = blobs(800).astype(np.float64)
     u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    trees = forest.fit_forest(u[:200], 800, 60, 0.8, 2)
-    home, tree, leaf = forest.route(trees, u, 2)
-    for t, tr in enumerate(trees):
-        assert tr.leaves > 4 and 0 <= home[:, t].min() and home[:, t].max() < tr.leaves
-        assert (leaf[tree == t] != home[np.nonzero(tree == t)[0], t]).all()
+    trees = forest.fit_forest(u[:400], 12, 0.8, 2)
+    tree, leaf = forest.place(trees, u, 3)
+    assert tree.shape == leaf.shape == (800, 5) and all(t.leaves > 4 for t in trees)
+    assert all(0 <= leaf[tree == t].min() and leaf[tree == t].max() < t_.leaves for t, t_ in enumerate(trees))
+    assert all(len({(t, k) for t, k in zip(ts, ks)}) == 5 for ts, ks in zip(tree, leaf))
+
+
+def test_the_queue_goes_to_the_nearest_leaf_first():
+    """One tree of two splits: the first visit lies behind the split that is nearer."""
+    t = forest.Tree(np.eye(2, dtype=np.float32), np.zeros(2, np.float32), np.array([[-1, 1], [-2, -3]]), 3, 2)
+    _, leaf = forest.place([t], np.array([[0.1, 0.9], [0.9, 0.1]], np.float32), 2)
+    assert leaf.tolist() == [[2, 0, 1], [2, 1, 0]]
+
+
+def test_blocks_of_rows_come_back():
+    import pyarrow as pa
+
+    x = blobs(50)
+    names, y, home = vectors.unpack(vectors.pack(pa.array([f"n{i}" for i in range(50)]), x, np.arange(50) % 2 == 0))
+    assert (x == y).all() and names.to_pylist()[7] == "n7" and home.tolist() == [i % 2 == 0 for i in range(50)]
 
 
 def test_descent_finds_neighbours():
     x = blobs(500).astype(np.float64)
     u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    near, _ = clusters.descend(u, 8)
+    near, _ = clusters.descend(u, 8, 0.55)
     s = u @ u.T
     np.fill_diagonal(s, -2)
     best = np.argsort(-s, 1)[:, :8]
@@ -191,6 +237,15 @@ def test_descent_finds_neighbours():
     assert hit[strong].mean() > 0.9
 
 
+def test_links_join_parts_that_lists_of_the_nearest_do_not():
+    """Two knots of forty near copies each, alike at .85: all lists are full inside a knot."""
+    rng = np.random.default_rng(2)
+    a, b = np.eye(32)[0], 0.85 * np.eye(32)[0] + np.sqrt(1 - 0.85**2) * np.eye(32)[1]
+    x = np.concatenate([a + 0.002 * rng.standard_normal((40, 32)), b + 0.002 * rng.standard_normal((40, 32))]).astype(np.float32)
+    p, q, _ = clusters.leaf_links(x, 0.8)
+    assert ((p < 40) & (q >= 40)).any()
+
+
 def test_clusters_are_the_parts_of_the_likeness_graph(spark):
     x = blobs(400)
     x[:12] = x[0]  # copies
@@ -255,14 +310,35 @@ def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 1.0, 2), (None, 0.5, 1), ("b", None, 2)], "source string, target_share double, max_repeats int")
     copies, shares = mixing.mix(spark, docs, targets)
-    assert copies.count() == 0 and [(r["source"], r["actual_share"]) for r in shares.collect()] == [("a", 0.0)]
+    assert copies.count() == 0 and [(r["source"], r["actual_share"]) for r in shares.collect()] == [("a", 0.0), ("(all)", 0.0)]
 
 
 # sentences
 
 
-def units(text):
-    return [text[a:b] for a, b in sentences.sentences(text)]
+def lexicon_of(texts, paragraphs=sentences.paragraphs):
+    from collections import Counter
+
+    counts = {k: Counter() for k in ("dot", "word", "open", "run", "last", "first")}
+    for t in texts:
+        lexicon.observed(t, paragraphs, counts)
+    c, low = lexicon.expanded(counts), Counter()
+    for w, n in c["word"].items():
+        low[w.lower()] += n
+    return lexicon.judged(c["dot"], low, c["word"], c["open"], c["gram"], c["final"], c["start"])
+
+
+@pytest.fixture(scope="module")
+def lex():
+    """Learned from the documents of the smallest tables but one."""
+    at = Path("/root/testdata/sf0.01/documents.parquet")
+    if not at.exists():
+        pytest.skip("no test data")
+    return lexicon_of([t for t in pd.read_parquet(at)["text"] if t])
+
+
+def units(text, lex):
+    return [text[a:b] for a, b in sentences.sentences(text, lex)]
 
 
 @pytest.mark.parametrize(
@@ -280,27 +356,50 @@ def units(text):
         ["ข้อความแรก", "ข้อความสอง"],
     ],
 )
-def test_spaced_scripts(want):
-    assert units(" ".join(want)) == want
+def test_spaced_scripts(want, lex):
+    assert units(" ".join(want), lex) == want
 
 
 @pytest.mark.parametrize("want", [["他写道：“丢失。请重试。”", "然后呢？", "评审人写了“先关。再合。”然后离开。"], ["記録には「失われた。再試行せよ。」とある。", "止まった……が、すぐに戻った！"]])
-def test_spaceless_scripts(want):
-    assert units("".join(want)) == want
+def test_spaceless_scripts(want, lex):
+    assert units("".join(want), lex) == want
 
 
 def test_blocks():
     text = "# A. B\none\ntwo. Three\n\n- x y. Z\n- w\n1. q\n| a. | B |\n\n```py\na. B\n\nc\n```\n[09:25] in. Out\n"
-    assert units(text) == ["# A. B", "one\ntwo.", "Three", "- x y.", "Z", "- w", "1. q", "| a. | B |", "```py\na. B\n\nc\n```", "[09:25] in.", "Out"]
+    assert units(text, lexicon.Lexicon()) == ["# A. B", "one\ntwo.", "Three", "- x y.", "Z", "- w", "1. q", "| a. | B |", "```py\na. B\n\nc\n```", "[09:25] in.", "Out"]
 
 
 @pytest.mark.parametrize("text", ["", None, " \n\t", "​", ".", "...", "“", "((((", '"a', "```\nopen", "a" * 100_000, "A. " * 5_000, "\r\n\r\n x \r y"])
 def test_odd_texts_are_covered(text):
-    spans = sentences.sentences(text)
+    spans = sentences.sentences(text, lexicon.Lexicon())
     assert "".join("".join((text or "")[a:b].split()) for a, b in spans) == "".join((text or "").split())
     assert all(a < b for a, b in spans) and all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
 
 
+@pytest.mark.parametrize("want", [["Gen. Lee met Lt. Smith.", "They spoke to Rep. Jones near Mt. Fuji."], ["See Eq. 4.", "Sig. Rossi came."], ["ខ្ញុំទៅ។", "គាត់មក។"], ["သူလာသည်။", "သွားသည်။"], ["ሰላም ነው።", "ደህና።"], ["Բարեւ։", "Ես։"], ["ສະບາຍດີ", "ຂອບໃຈ"]])
+def test_scripts_and_abbreviations_that_the_corpus_lacks(want, lex):
+    assert units(" ".join(want), lex) == want
+
+
+def test_words_are_learned_and_decide(lex):
+    """A made-up abbreviation is learned from its use; a word that ends blocks is none; without the words of a spaceless script a gap ends a sentence."""
+    texts = [f"The rate was qxv. {i} in all.\n\nWe saw Mr qxv. {i} and left the house." for i in range(20)]
+    made = lexicon_of(texts)
+    assert "qxv" in made.never | made.numbered and "house" not in made.never
+    assert units("It was qxv. 7 then.", made) == ["It was qxv. 7 then."]
+    gap = "止まった……が、すぐに戻った！"
+    assert units(gap, lex) == [gap] and units(gap, lexicon.Lexicon()) == ["止まった……", "が、すぐに戻った！"]
+
+
+def test_a_gap_is_judged_by_whole_runs():
+    """The word that decides begins thirty characters before the gap."""
+    long = "記" * 30
+    made = lexicon.Lexicon(costs={long[:4]: 1.0, "記": 5.0}, finals={long[:4]: -3.0})
+    assert made.words(long + "記記") == [long[:4]] * 8
+    assert made.odds(long + "記記", "が") < 0
+
+
 def test_sentence_units(spark):
     df = spark.createDataFrame([(1, "A b. C d.", 5), (2, None, 5), (1, "A b. C d.", 5), (None, "x", 5)], "doc_id long, text string, start_char int")
     got = sorted(map(str, (tuple(r) for r in sentences.sentence_units(df, "doc_id", "text").collect())))
