@@ -5,10 +5,10 @@ and keeps the split that parts the fewest near pairs of its sample; a node with
 rows is a leaf, so no leaf rests on fewer than about LEAST of them and a leaf's share of all rows is known
 to within chance.
 
-A row is placed by one queue for all trees. It first goes down every tree to its home leaf; at each node
-that it passes, on these and on all later ways, the far child enters the queue with its distance: the root
-of the summed squares of the margins that must be crossed to get there. The nearest children are then taken
-out of the queue one by one and descended to further leaves.
+A row is placed by one queue for all trees. It holds the roots, that of the first tree at distance 0 and
+the others at ROOT. The nearest entry is taken out and descended to a leaf; at each node on the way the far
+child enters the queue with its distance: the summed squares of the margins that must be crossed to get
+there. A row near few borders soon comes to the other trees, one near many looks across them first.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from dataclasses import dataclass
 import numpy as np
 
 TRIES, LEAST = 32, 16
+#: The distance at which the roots of all trees but the first enter the queue.
+ROOT = 0.004
 
 
 @dataclass
@@ -93,38 +95,31 @@ def fit_forest(sample: np.ndarray, cells: float, cosine: float, trees: int, seed
     return [fit(sample, cells, cosine, seed * 1000 + t, pairs) for t in range(trees)]
 
 
-def place(forest: list[Tree], x: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n, trees + visits) tree and leaf of each row of unit vectors: its homes, then its visits by the shared queue; -1 where there are none."""
+def place(forest: list[Tree], x: np.ndarray, places: int, root: float = ROOT) -> tuple[np.ndarray, np.ndarray]:
+    """(n, places) tree and leaf of each row of unit vectors in the order of the shared queue, the first being its home; -1 where there are no more leaves."""
     n, trees, rows = len(x), len(forest), np.arange(len(x))
-    visits = visits if sum(t.leaves for t in forest) > trees else 0
-    room = max(1, sum(t.depth for t in forest) + visits * max((t.depth for t in forest), default=0))
+    room = trees + places * max((t.depth for t in forest), default=0)
     distance, node, owner = np.full((n, room), np.inf, np.float32), np.zeros((n, room), np.int32), np.zeros((n, room), np.int8)
-    used = np.zeros(n, np.int64)
-
-    def descend(t: int, who: np.ndarray, at: np.ndarray, far: np.ndarray) -> np.ndarray:
-        tree, at = forest[t], at.copy()
-        live = np.flatnonzero(at >= 0) if tree.depth else np.zeros(0, np.int64)
-        while len(live):
-            r, k = who[live], at[live]
-            m = np.einsum("ij,ij->i", x[r], tree.normals[k]) - tree.offsets[k]
-            right = (m >= 0).astype(np.int64)
-            slot = used[r]
-            distance[r, slot], node[r, slot], owner[r, slot] = far[live] + m * m, tree.children[k, 1 - right], t
-            used[r] += 1
-            at[live] = tree.children[k, right]
-            live = live[at[live] >= 0]
-        return -1 - at
-
-    zero = np.zeros(n, np.float32)
-    to_tree, to_leaf = np.tile(np.arange(trees + visits), (n, 1)), np.full((n, trees + visits), -1, np.int64)
-    for t, tree in enumerate(forest):
-        to_leaf[:, t] = descend(t, rows, np.zeros(n, np.int64), zero) if tree.depth else 0
-    for v in range(trees, trees + visits):
+    distance[:, :trees], owner[:, :trees] = [0.0] + [root] * (trees - 1), np.arange(trees)
+    used = np.full(n, trees)
+    to_tree, to_leaf = np.zeros((n, places), np.int64), np.full((n, places), -1, np.int64)
+    for p in range(places):
         first = distance.argmin(1)
-        far, to, whose = distance[rows, first].copy(), node[rows, first].astype(np.int64), owner[rows, first].copy()
+        far, at, whose = distance[rows, first].copy(), node[rows, first].astype(np.int64), owner[rows, first].copy()
         distance[rows, first] = np.inf
-        to_tree[:, v] = whose
-        for t in range(trees):
-            mine = np.flatnonzero((whose == t) & np.isfinite(far))
-            to_leaf[mine, v] = descend(t, mine, to[mine], far[mine])
+        to_tree[:, p] = whose
+        for t, tree in enumerate(forest):
+            who = np.flatnonzero((whose == t) & np.isfinite(far))
+            k, f = (at[who] if tree.depth else np.full(len(who), -1)), far[who]
+            live = np.flatnonzero(k >= 0)
+            while len(live):
+                r, inner = who[live], k[live]
+                m = np.einsum("ij,ij->i", x[r], tree.normals[inner]) - tree.offsets[inner]
+                right = (m >= 0).astype(np.int64)
+                slot = used[r]
+                distance[r, slot], node[r, slot], owner[r, slot] = f[live] + m * m, tree.children[inner, 1 - right], t
+                used[r] += 1
+                k[live] = tree.children[inner, right]
+                live = live[k[live] >= 0]
+            to_leaf[who, p] = -1 - k
     return to_tree, to_leaf

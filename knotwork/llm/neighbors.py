@@ -1,9 +1,9 @@
 """The most similar vectors of every vector, by a forest of random-projection trees.
 
-Every vector lies in its home cell of each tree and in further cells in the order of one priority queue that
-all trees share. Cells are divided into leaves by forests of their own, in the same way. In a leaf all that
-lie there are each other's candidates; they are compared in single precision, and those that may be among
-the nearest again in double precision from the stored values; the leaves' lists are merged.
+Every vector lies in its home cell and in further cells in the order of one priority queue that all trees
+share. Cells are divided into leaves by forests of their own, in the same way. In a leaf all that lie there
+are each other's candidates; they are compared in single precision, and those that may be among the nearest
+again in double precision from the stored values; the leaves' lists are merged.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from knotwork.scratch import Scratch
 
 _BLOCK = 512
 #: Rows of a leaf that are compared with each other.
-LEAF_MOST = 6_000
+LEAF_MOST = 16_000
 #: More than single precision can be wrong by in a cosine.
 _SLACK = 2e-6
 
@@ -62,7 +62,7 @@ def nearest(spark: SparkSession, embeddings: DataFrame, models: DataFrame, k: in
     without an id and models that models doesn't name. Cosines are rounded to 9 decimals; at equal ones the
     smaller chunk goes first. Of more than k + 1 copies of one direction, in all the table, only those of the
     smallest chunks are searched; the others' nearest are these copies. An empty table gives no rows; other
-    columns are ignored. index: sample, cell_rows, cell_most, trees, visits of to_cells.
+    columns are ignored. index: sample, cell_rows, cell_most, trees, places of to_cells.
     """
     tmp = Scratch(spark)
     vectors = Vectors(tmp, usable(embeddings, models), max(COPIES, k + 1))

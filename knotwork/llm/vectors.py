@@ -28,8 +28,9 @@ from knotwork.tables import code_key, ref_key
 #: Rows of each model, or of each cell that is divided again, that trees are fitted on; every row is indexed.
 SAMPLE = 8_000
 #: Rows a cell should have, and rows above which a cell is divided again.
-CELL_ROWS, CELL_MOST = 2_048, 200_000
-TREES, VISITS = 2, 3
+CELL_ROWS, CELL_MOST = 2_560, 200_000
+#: Trees, and the leaves that a row is placed in.
+TREES, PLACES = 2, 4
 #: Copies of one direction that stay in the cells: a query counts five neighbours, itself not.
 COPIES = 6
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -170,8 +171,8 @@ def _number(to_tree: np.ndarray, to_leaf: np.ndarray) -> np.ndarray:
     return np.where(to_leaf >= 0, to_leaf * 8 + to_tree, -1)
 
 
-def to_cells(spark: SparkSession, rows: DataFrame, counts: dict[str, int], cosine: float, name: str = "chunk", sample: int = SAMPLE, cell_rows: int = CELL_ROWS, cell_most: int = CELL_MOST, trees: int = TREES, visits: int = VISITS) -> DataFrame:
-    """model, cell, block: each row in its home cell of every tree and in as many more cells as there are visits.
+def to_cells(spark: SparkSession, rows: DataFrame, counts: dict[str, int], cosine: float, name: str = "chunk", sample: int = SAMPLE, cell_rows: int = CELL_ROWS, cell_most: int = CELL_MOST, trees: int = TREES, places: int = PLACES) -> DataFrame:
+    """model, cell, block: each row in its home cell and in as many more as it has places.
 
     rows: name, model, vec, row_hash. A cell's blocks come in any number of rows of the result.
     """
@@ -185,23 +186,23 @@ def to_cells(spark: SparkSession, rows: DataFrame, counts: dict[str, int], cosin
             for k, model in enumerate(models.dictionary.to_pylist()):
                 take = pa.array(np.flatnonzero(models.indices.to_numpy() == k))
                 x = vecs.take(take).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(take), -1)
-                to_tree, to_leaf = place(shared.value[model], unit(x).astype(np.float32), visits)
-                home = np.broadcast_to(np.arange(to_leaf.shape[1]) < trees, to_leaf.shape)
+                to_tree, to_leaf = place(shared.value[model], unit(x).astype(np.float32), places)
+                home = np.broadcast_to(np.arange(places) == 0, to_leaf.shape)
                 out = list(_blocks(model, 0, names.take(take), x, home, _number(to_tree, to_leaf)))
                 if out:
                     yield _batch(out)
 
     placed = rows.select(name, "model", "vec").mapInArrow(run, _CELLS)
-    most = max((n / max(1, min(t.leaves for t in fitted[m])) for m, n in counts.items()), default=0)
+    most = max((n / max(1, fitted[m][0].leaves) for m, n in counts.items()), default=0)
     level = 1
     while most > cell_most:
-        placed = _divided(placed, most, cosine, sample, cell_rows, trees, visits, level)
+        placed = _divided(placed, most, cosine, sample, cell_rows, trees, places, level)
         most /= min(most / cell_rows, sample / LEAST / 2)
         level += 1
     return placed
 
 
-def _divided(placed: DataFrame, most: float, cosine: float, sample: int, cell_rows: int, trees: int, visits: int, level: int) -> DataFrame:
+def _divided(placed: DataFrame, most: float, cosine: float, sample: int, cell_rows: int, trees: int, places: int, level: int) -> DataFrame:
     """placed, each of whose cells (of at most about most rows) is divided by trees of its own, fitted in tasks on a sample."""
     rate = min(1.0, sample / most)
 
@@ -231,10 +232,10 @@ def _divided(placed: DataFrame, most: float, cosine: float, sample: int, cell_ro
                     yield _batch([(model, cell * _FAN, block)])
                     continue
                 names, x, home = unpack(block)
-                to_tree, to_leaf = place(kept[1], unit(x).astype(np.float32), visits)
+                to_tree, to_leaf = place(kept[1], unit(x).astype(np.float32), places)
                 to = _number(to_tree, to_leaf)
                 to[~home, 1:] = -1  # a visitor goes to the one place nearest to it
-                homes = np.broadcast_to(np.arange(to.shape[1]) < trees, to.shape) & home[:, None]
+                homes = (np.arange(places) == 0) & home[:, None]
                 out = list(_blocks(model, cell * _FAN, names, x, homes, to))
                 if out:
                     yield _batch(out)
@@ -244,7 +245,7 @@ def _divided(placed: DataFrame, most: float, cosine: float, sample: int, cell_ro
     return both.select("model", "cell", "block", "trees").mapInArrow(run, _CELLS)
 
 
-def leaves_within(x: np.ndarray, most: int, cosine: float, trees: int = TREES, visits: int = VISITS, seed: int = 11) -> list[np.ndarray]:
+def leaves_within(x: np.ndarray, most: int, cosine: float, trees: int = TREES, places: int = PLACES, seed: int = 11) -> list[np.ndarray]:
     """Rows of the leaves of a cell of unit vectors x: all at once, or by a forest of its own if there are more than most.
 
     Leaves that a forest leaves too large - it divides no rows that are all alike - are divided again by
@@ -258,11 +259,11 @@ def leaves_within(x: np.ndarray, most: int, cosine: float, trees: int = TREES, v
             continue
         rng = np.random.default_rng([seed, len(idx)])
         smp = x[rng.choice(len(idx), min(len(idx), 4_096), replace=False)] if len(idx) == len(x) else x[rng.choice(idx, min(len(idx), 4_096), replace=False)]
-        forest = fit_forest(smp, min((1 + visits / trees) * len(idx) / most * 1.3, len(smp) / LEAST), cosine, trees, seed)
+        forest = fit_forest(smp, min(1.3 * places * len(idx) / most, len(smp) / LEAST), cosine, trees, seed)
         if max(t.leaves for t in forest) == 1:
             done.append(idx)
             continue
-        number = _number(*place(forest, x[idx], visits))
+        number = _number(*place(forest, x[idx], places))
         row, col = np.nonzero(number >= 0)
         where = number[row, col]
         order = np.argsort(where, kind="stable")

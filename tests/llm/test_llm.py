@@ -204,7 +204,7 @@ def test_places_lie_in_the_trees_and_differ():
     x = blobs(800).astype(np.float64)
     u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     trees = forest.fit_forest(u[:400], 12, 0.8, 2)
-    tree, leaf = forest.place(trees, u, 3)
+    tree, leaf = forest.place(trees, u, 5)
     assert tree.shape == leaf.shape == (800, 5) and all(t.leaves > 4 for t in trees)
     assert all(0 <= leaf[tree == t].min() and leaf[tree == t].max() < t_.leaves for t, t_ in enumerate(trees))
     assert all(len({(t, k) for t, k in zip(ts, ks)}) == 5 for ts, ks in zip(tree, leaf))
@@ -213,8 +213,15 @@ def test_places_lie_in_the_trees_and_differ():
 def test_the_queue_goes_to_the_nearest_leaf_first():
     """One tree of two splits: the first visit lies behind the split that is nearer."""
     t = forest.Tree(np.eye(2, dtype=np.float32), np.zeros(2, np.float32), np.array([[-1, 1], [-2, -3]]), 3, 2)
-    _, leaf = forest.place([t], np.array([[0.1, 0.9], [0.9, 0.1]], np.float32), 2)
-    assert leaf.tolist() == [[2, 0, 1], [2, 1, 0]]
+    _, leaf = forest.place([t], np.array([[0.1, 0.9], [0.9, 0.1]], np.float32), 4)
+    assert leaf.tolist() == [[2, 0, 1, -1], [2, 1, 0, -1]]
+
+
+def test_the_queue_holds_all_trees():
+    """A row far from the first tree's borders goes to the second tree, one near them looks across first."""
+    t = forest.Tree(np.eye(1, 2, dtype=np.float32), np.zeros(1, np.float32), np.array([[-1, -2]]), 2, 1)
+    tree, leaf = forest.place([t, t], np.array([[0.01, 1.0], [0.9, 0.4]], np.float32), 3)
+    assert list(zip(tree[0], leaf[0])) == [(0, 1), (0, 0), (1, 1)] and list(zip(tree[1], leaf[1])) == [(0, 1), (1, 1), (0, 0)]
 
 
 def test_blocks_of_rows_come_back():
