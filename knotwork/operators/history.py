@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.scratch import Scratch
+
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str], attrs: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """keys, change ('inserted', 'changed', 'deleted', 'same'), both values of each attribute as a_old and a_new, and the columns carry of after.
@@ -82,11 +84,12 @@ def history_of_versions(versions: DataFrame, key: str, version: str, at: str, se
     counted = rows.groupBy(F.coalesce(F.concat(F.lit("v"), "v"), F.concat(F.lit("s"), F.col("s").cast("string"), F.lit("k"), F.coalesce("k", F.lit("")))).alias("g")).agg(F.max_by(pack, "s").alias("r")).select("r.*")
     counted = counted.where(F.col("k").isNotNull() & F.col("t").isNotNull())
     states = counted.groupBy("k", "t").agg(F.max_by(F.struct("v", *attrs), "s").alias("r")).select("k", "t", "r.*")
-    events = next_in_key(_events(states, list(attrs)), "k", "t", "valid_to")
+    tmp = Scratch(versions.sparkSession)
+    events = next_in_key(tmp.cut(_events(tmp, tmp.cut(states), list(attrs))), "k", "t", "valid_to")
     return events.select(F.col("k").alias(key), F.col("v").alias(version), *attrs, F.col("t").alias("valid_from"), "valid_to")
 
 
-def _events(states: DataFrame, attrs: list[str]) -> DataFrame:
+def _events(tmp: Scratch, states: DataFrame, attrs: list[str]) -> DataFrame:
     """k, t, v, attrs of the states (one a key and instant) that are their key's first or differ from the one before."""
     states = states.withColumn("day", F.to_date("t")).withColumn("second", F.date_trunc("second", "t")).withColumn("instant", F.col("t"))
     found, group, seeds = [], ["k"], None
@@ -95,9 +98,11 @@ def _events(states: DataFrame, attrs: list[str]) -> DataFrame:
         snaps = snaps.withColumn("j", F.row_number().over(Window.partitionBy(*group).orderBy(period)))
         before = snaps.select(*group, (F.col("j") + 1).alias("j"), *attrs)
         before = before if seeds is None else before.unionByName(seeds)
-        d = diff(before, snaps, [*group, "j"], attrs, (period, "n", "t", "v"))
+        d = tmp.cut(diff(before, snaps, [*group, "j"], attrs, (period, "n", "t", "v")))
         found.append(d.where((F.col("n") == 1) & F.col("change").isin("inserted", "changed")).select("k", "t", "v", *[F.col(f"{a}_new").alias(a) for a in attrs]))
         several = d.where("n > 1")
+        if not several.limit(1).count():  # each snapshot is the one state of its period
+            break
         group = [*group, period]
         states = states.join(several.select(*group), group, "left_semi")
         seeds = several.where("change <> 'inserted'").select(*group, F.lit(1).alias("j"), *[F.col(f"{a}_old").alias(a) for a in attrs])

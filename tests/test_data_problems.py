@@ -63,6 +63,19 @@ def test_history_random(spark):
     assert sorted(map(str, map(tuple, want))) == sorted(map(str, history_rows(spark, rows)))
 
 
+def test_history_of_one_day_and_one_second(spark):
+    """A key all of whose versions fall on one day, most of them in one second, beside one that changes back within a day."""
+    at = lambda us: dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=us)
+    rows = [(i, f"h{i}", "hot", at(i * 10 if i < 300 else i * 2_000_000), "active", float(i // 2 % 2)) for i in range(600)]
+    rows += [(1000, "x", "back", T(0), "active", 1.0), (1001, "y", "back", T(1, 5), "archived", 1.0), (1002, "z", "back", T(1, 9), "active", 1.0), (1003, "w", "back", T(2), "active", 1.0)]
+    got = history_rows(spark, rows)
+    hot = sorted((r[4], r[1]) for r in got if r[0] == "hot")
+    assert [v for _, v in hot] == [f"h{i}" for i in range(0, 600, 2)]
+    assert {(r[1], r[4], r[5]) for r in got if r[0] == "back"} == {("x", T(0), T(1, 5)), ("y", T(1, 5), T(1, 9)), ("z", T(1, 9), None)}
+    ends = {r[4]: r[5] for r in got if r[0] == "hot"}
+    assert all(ends[a] == b for (a, _), (b, _) in zip(hot, hot[1:])) and ends[hot[-1][0]] is None
+
+
 def test_diff_is_null_safe(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (None, "n"), (4, "d")], "k int, v string")
     b = spark.createDataFrame([(1, "y"), (2, None), (None, "n"), (5, None)], "k int, v string")
@@ -146,6 +159,15 @@ def test_hierarchy_chain_circle_self_and_absent(spark, rows):
     assert solve(spark, links, rows) == plain_hierarchy(links)
 
 
+def test_hierarchy_of_scattered_ids_stays_in_the_recursion(spark):
+    """A long chain and bushes whose ids say nothing about their place: quotients shrink until one partition holds them."""
+    rng = random.Random(8)
+    ids = [f"{rng.getrandbits(64):016x}" for _ in range(400)]
+    links = [(ids[i], ids[i - 1] if i and i < 250 else ids[rng.randrange(i)] if i else None) for i in range(400)]
+    links += [("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("below", "c1")]
+    assert solve(spark, links, 40) == plain_hierarchy(links)
+
+
 def test_hierarchy_hot_parent_and_nothing(spark):
     links = {"r": None} | {f"k{i:03}": "r" for i in range(200)}
     got = solve(spark, links, 30)
