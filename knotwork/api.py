@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.operators import coverage, graph, health, lifecycle, queues, retrieval, suggest, versioning, views
+from knotwork.operators import coverage, graph, health, keywords, lifecycle, queues, retrieval, suggest, versioning, views
 from knotwork.operators.interactions import scorecard as _scorecard
 from knotwork.schema import SCHEMAS
 
@@ -48,7 +48,7 @@ class KnowledgeGraph:
         live = live.where(F.col("fl_type") == fl_type) if fl_type else live
         gone = self.concepts(False).where(~views.is_active("lifecycle_status")).select(F.col("id").alias("concept_id"))
         live = live.join(gone, "concept_id", "left_anti")
-        terms = list(dict.fromkeys(w for t in question.split() for x in (t, re.sub("([A-Z])", r" \1", t)) for w in re.split("[^a-z0-9]+", x.lower()) if w))
+        terms = keywords.query_tokens(question + " " + re.sub("([A-Z])", r" \1", question))
         words = retrieval.bm25(chunks, "id", "content", terms).join(live.select("id"), "id", "left_semi")
         lanes = [retrieval.ranked(words, F.col("rank"), "id", k).withColumn("distance", retrieval.keyword_distance(F.col("pos")))]
         if query_vector is not None:
@@ -62,7 +62,7 @@ class KnowledgeGraph:
     def symbol_search(self, text: str, k: int = 20) -> DataFrame:
         """RT4."""
         s = self.table("symbols").select("id", "name", F.regexp_replace(F.concat_ws(" ", "name", "qualified_name", "signature"), "([A-Z])", " $1").alias("text"))
-        terms = list(dict.fromkeys(w for w in re.split("[^a-z0-9]+", re.sub("([A-Z])", r" \1", text).lower()) if w))
+        terms = keywords.query_tokens(re.sub("([A-Z])", r" \1", text))
         return retrieval.top(retrieval.bm25(s, "id", "text", terms).join(s.select("id", "name"), "id"), F.col("rank"), "id", k)
 
     def coverage(self) -> DataFrame:
@@ -117,10 +117,10 @@ class KnowledgeGraph:
         """LC7: the verdicts on the targets of narratives to be opened."""
         return lifecycle.check_targets(requests, self.concepts(False).select("name", F.col("lifecycle_status").alias("status")))
 
-    def rename(self, concept_id: str, name: str, version_id: str, now: Column) -> DataFrame:
-        """LC12: the next version of a concept, to be appended."""
+    def rename(self, concept_id: str, name: str, version_id: str, now: Column, seq: Column) -> DataFrame:
+        """LC12: the next version of a concept, to be appended; seq: its place in the order of arrival of all rows."""
         c = self.concepts(False).where(F.col("id") == concept_id)
-        return c.withColumn("name", F.lit(name)).withColumn("version_id", F.lit(version_id)).withColumn("inserted_at", now).withColumn("seq", F.col("seq") + 1)
+        return c.withColumn("name", F.lit(name)).withColumn("version_id", F.lit(version_id)).withColumn("inserted_at", now).withColumn("seq", seq)
 
     def jobs(self) -> DataFrame:
         return queues.counts(self.table("jobs"), ["scope"])

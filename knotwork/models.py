@@ -9,7 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -71,10 +71,20 @@ def register_sql_functions(spark: SparkSession) -> None:
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION vec_distance_cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN 1 - coalesce(try_divide({dot.format('a', 'b')}, {n}), 0)")
 
 
-def rerank(results: DataFrame, scores: DataFrame | None, key: str, window: int = 20) -> DataFrame:
-    """RT9, UD4: the first window of results (key, score, pos) in the order of a reranker's scores (key, new); without one, as they are."""
-    if scores is None:
+def rerank(results: DataFrame, scores: DataFrame | None, key: str, window: int = 20, query: str | None = None, least: int = 8) -> DataFrame:
+    """RT9, UD4: the first window of results (key, score, pos from 0) in the order of a reranker's scores (key, new), the rest behind them.
+
+    Nothing changes without scores, for a query of fewer than least characters, or where there is but one result. New scores stand
+    only where the order did change; results of the window without one come last in it, with a score of 0.
+    """
+    if scores is None or query is not None and len(query.strip()) < least:
         return results
     head = F.col("pos") < window
-    j = results.join(scores.select(key, "new"), key, "left")
-    return j.withColumn("score", F.when(head, F.coalesce("new", F.lit(0.0))).otherwise(F.col("score"))).drop("new")
+    order = Window.orderBy((~F.col("head")).cast("int"), F.col("new").desc_nulls_last(), "pos")  # a page of results
+    j = results.withColumn("head", head).join(scores.select(key, "new"), key, "left").withColumn("new", F.when(F.col("head"), F.col("new")))
+    j = j.withColumn("to", F.row_number().over(order) - 1)
+    one = j.agg(F.max(F.col("head") & (F.col("to") != F.col("pos"))).alias("moved"))
+    j = j.join(F.broadcast(one))  # one row
+    score = F.when(F.col("moved") & F.col("head"), F.coalesce("new", F.lit(0.0))).otherwise(F.col("score"))
+    pos = F.when(F.col("moved"), F.col("to")).otherwise(F.col("pos"))
+    return j.withColumn("score", score).withColumn("pos", pos.cast(results.schema["pos"].dataType)).drop("head", "new", "to", "moved")

@@ -27,8 +27,8 @@ def two_hop(relations: DataFrame) -> DataFrame:
     near = both_ways(relations).where("node <> other").groupBy("node", "other").agg(F.max("weight").alias("w"))
     a, b = near.select("node", F.col("other").alias("via"), F.col("w").alias("w1")), near.select(F.col("node").alias("via"), F.col("other").alias("target"), F.col("w").alias("w2"))
     far = a.join(b, "via").where("node <> target").join(near.select("node", F.col("other").alias("target")), ["node", "target"], "left_anti")
-    best = far.groupBy("node", "target").agg(F.max(F.struct((F.col("w1") * F.col("w2")).alias("weight"), (-F.col("via")).alias("minus"))).alias("m"))
-    return best.select("node", "target", (-F.col("m.minus")).alias("via"), F.col("m.weight").alias("weight"))
+    best = far.groupBy("node", "target").agg(F.min(F.struct((-F.col("w1") * F.col("w2")).alias("minus"), "via")).alias("m"))
+    return best.select("node", "target", "m.via", (-F.col("m.minus")).alias("weight"))
 
 
 def call_edges(sites: DataFrame, sites_each: int = SITES) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,30 +57,105 @@ def markdown_chunks(docs: DataFrame, key: str, text: str, target: int = TARGET,
     return rows.mapInPandas(run, f"{key} {rows.schema[0].dataType.simpleString()}, chunk int, content string, headings string, tokens int")
 
 
-def line_diff(old: str, new: str, context: int = 3) -> list[tuple[str, int, int, str]]:
-    """SF22: (op, old line, new line, text) of the changed lines and context lines around them; texts of more than DIFF_LINES lines give nothing."""
+def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int, str]]:
+    """(op, old line, new line, text) of all lines along a longest common subsequence; among equal ways additions come last."""
+    m, n = len(a), len(b)
+    ids = {t: i for i, t in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = np.array([ids[t] for t in a], np.int32), np.array([ids[t] for t in b], np.int32)
+    best = np.zeros((m + 1, n + 1), np.int32)  # lengths of the subsequences of all beginnings, a row at a time
+    for i in range(m):
+        best[i + 1, 1:] = np.maximum.accumulate(np.where(y == x[i], best[i, :-1] + 1, best[i, 1:]))
+    out, i, j = [], m, n
+    while i or j:
+        if i and j and x[i - 1] == y[j - 1]:
+            out.append(("same", i, j, a[i - 1]))
+            i, j = i - 1, j - 1
+        elif j and (not i or best[i, j - 1] >= best[i - 1, j]):
+            out.append(("add", 0, j, b[j - 1]))
+            j -= 1
+        else:
+            out.append(("remove", i, 0, a[i - 1]))
+            i -= 1
+    return out[::-1]
+
+
+def hunks(script: list[tuple[str, int, int, str]], context: int = 3) -> list[list[tuple[str, int, int, str]]]:
+    """The changes of a script with context lines around them; hunks that touch or overlap are one."""
+    out: list[list[int]] = []
+    for at in (i for i, line in enumerate(script) if line[0] != "same"):
+        low, high = max(0, at - context), min(len(script), at + context + 1)
+        if out and low <= out[-1][1]:
+            out[-1][1] = high
+        else:
+            out.append([low, high])
+    return [script[low:high] for low, high in out]
+
+
+def line_diff(old: str, new: str, context: int = 3, max_lines: int | None = DIFF_LINES) -> list[tuple[str, int, int, str]]:
+    """SF22: the lines of all hunks; texts of more than max_lines lines give nothing, None compares texts of any length."""
     a, b = old.split("\n"), new.split("\n")
-    if max(len(a), len(b)) > DIFF_LINES:
+    if max_lines is not None and max(len(a), len(b)) > max_lines:
         return []
-    out: list[tuple[str, int, int, str]] = []
-    for group in difflib.SequenceMatcher(None, a, b, autojunk=False).get_grouped_opcodes(context):
-        for tag, i1, i2, j1, j2 in group:
-            if tag == "equal":
-                out += [("same", i1 + n + 1, j1 + n + 1, a[i1 + n]) for n in range(i2 - i1)]
-            else:
-                out += [("remove", i + 1, 0, a[i]) for i in range(i1, i2)] + [("add", 0, j + 1, b[j]) for j in range(j1, j2)]
-    return out
+    return [line for h in hunks(edit_script(a, b), context) for line in h]
+
 
+def line_diffs(pairs: DataFrame, key: str, context: int = 3, max_lines: int | None = DIFF_LINES) -> DataFrame:
+    """SF22 over pairs (key, old, new): key, hunk (from 1), op, old_line, new_line, line; a null text is an empty one.
+
+    A pair above max_lines has one row of op 'too-large' and hunk 0, so it is not taken for unchanged.
+    """
 
-def line_diffs(pairs: DataFrame, key: str) -> DataFrame:
-    """SF22 over pairs (key, old, new); a null text is an empty one."""
+    def rows_of(k: object, old: str, new: str) -> Iterator[tuple]:
+        a, b = old.split("\n"), new.split("\n")
+        if max_lines is not None and max(len(a), len(b)) > max_lines:
+            yield k, 0, "too-large", len(a), len(b), None
+            return
+        for n, h in enumerate(hunks(edit_script(a, b), context)):
+            yield from ((k, n + 1, *line) for line in h)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(k, *d) for k, o, n in b.itertuples(index=False) for d in line_diff(o or "", n or "")], columns=[key, "op", "old_line", "new_line", "line"])
+            yield pd.DataFrame([r for k, o, n in b.itertuples(index=False) for r in rows_of(k, o or "", n or "")], columns=[key, "hunk", "op", "old_line", "new_line", "line"])
 
     rows = pairs.select(key, "old", "new")
-    return rows.mapInPandas(run, f"{key} {rows.schema[0].dataType.simpleString()}, op string, old_line int, new_line int, line string")
+    return rows.mapInPandas(run, f"{key} {rows.schema[0].dataType.simpleString()}, hunk int, op string, old_line int, new_line int, line string")
+
+
+def merge3(base: str, ours: str, theirs: str) -> tuple[str, int]:
+    """LC9: a three-way merge by lines and the number of its conflicts: what one side changed is taken, what both changed alike once.
+
+    Runs that both changed differently stay side by side between marks.
+    """
+    a, b, c = base.split("\n"), ours.split("\n"), theirs.split("\n")
+    to_b = {i - 1: j - 1 for op, i, j, _ in edit_script(a, b) if op == "same"}
+    to_c = {i - 1: j - 1 for op, i, j, _ in edit_script(a, c) if op == "same"}
+    out, faults, i, j, k = [], 0, 0, 0, 0
+    anchors = [n for n in range(len(a)) if n in to_b and n in to_c] + [len(a)]
+    for n in anchors:
+        jn, kn = (to_b[n], to_c[n]) if n < len(a) else (len(b), len(c))
+        x, y, z = a[i:n], b[j:jn], c[k:kn]
+        if y == z or z == x:
+            out += y
+        elif y == x:
+            out += z
+        else:
+            faults += 1
+            out += ["<<<<<<<", *y, "=======", *z, ">>>>>>>"]
+        if n < len(a):
+            out.append(a[n])
+        i, j, k = n + 1, jn + 1, kn + 1
+    return "\n".join(out), faults
+
+
+def merged(versions: DataFrame, key: str) -> DataFrame:
+    """LC9: key, content, conflicts of versions (key, base, ours, theirs); nulls are empty texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            yield pd.DataFrame([(k, *merge3(a or "", b or "", c or "")) for k, a, b, c in f.itertuples(index=False)], columns=[key, "content", "conflicts"])
+
+    rows = versions.select(key, "base", "ours", "theirs")
+    return rows.mapInPandas(run, f"{key} {rows.schema[0].dataType.simpleString()}, content string, conflicts int")
 
 
 def coalesce_spans(lines: list[int]) -> list[tuple[int, int, int]]:

@@ -152,11 +152,11 @@ def hybrid_flagship(spark: SparkSession, sf: str) -> DataFrame:
     return R.best_per_concept(aged, "concept", "id").select("id", "concept", "score", "slot").orderBy("slot", "id").limit(20)
 
 
-@query(_MERGED + """, r AS (SELECT id % 50 AS concept, max(score) AS score FROM f GROUP BY 1), m AS (SELECT p_size AS concept, max(p_retailprice / 1000) AS confidence FROM part WHERE p_size % 7 = 0 GROUP BY 1)
+@query(_MERGED + """, r AS (SELECT id % 50 AS concept, max(score) AS score FROM f GROUP BY 1), m AS (SELECT p_size AS concept, max(p_retailprice / 1000) AS confidence FROM part GROUP BY 1)
 SELECT coalesce(r.concept, m.concept) AS concept, round(coalesce(score, 1.0 / 61) + 0.05 * coalesce(confidence, 0), 6) AS score, score IS NULL AS injected FROM r FULL JOIN m ON r.concept = m.concept""")
 def structural_boost(spark: SparkSession, sf: str) -> DataFrame:
     r = _merged(spark, sf).groupBy((F.col("id") % 50).alias("concept")).agg(F.max("score").alias("score"))
-    m = table(spark, sf, "part").where("p_size % 7 = 0").select(F.col("p_size").cast("long").alias("concept"), (F.col("p_retailprice") / 1000).alias("confidence"))
+    m = table(spark, sf, "part").select(F.col("p_size").cast("long").alias("concept"), (F.col("p_retailprice") / 1000).alias("confidence"))
     return _rounded(R.structural_boost(r, m, "concept").select("concept", "score", "injected"))
 
 
@@ -175,11 +175,12 @@ def narrative_positions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("source is not null").select("doc_id", F.lower(F.trim("source")).alias("narrative"), "created_at").withColumn("position", F.row_number().over(w)).drop("created_at")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS claim, l_suppkey AS source FROM lineitem), s AS (SELECT s_suppkey AS source, s_acctbal / 9973 AS freshness, ((s_suppkey % 10) / 10.0)::DOUBLE AS relevance FROM supplier WHERE s_suppkey % 3 <> 0)
+@query("""WITH c AS (SELECT l_orderkey AS claim, l_partkey AS source FROM lineitem), s AS (SELECT c_custkey AS source, c_acctbal / 9973 AS freshness, ((c_custkey % 10) / 10.0)::DOUBLE AS relevance FROM customer)
 SELECT claim, round(0.4 * avg(coalesce(freshness, 0.5)::DOUBLE) + 0.4 * avg(coalesce(relevance, 0.5)::DOUBLE) + 0.2 * least(1.0, count(*) / 3.0), 6) AS confidence FROM c LEFT JOIN s USING (source) GROUP BY 1""")
 def claim_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("claim"), F.col("l_suppkey").alias("source"))
-    s = table(spark, sf, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("source"), (F.col("s_acctbal") / 9973).alias("freshness"), ((F.col("s_suppkey") % 10) / 10).alias("relevance"))
+    """RT17: customers stand for sources; parts whose number no customer has are claims without a known source."""
+    c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("claim"), F.col("l_partkey").alias("source"))
+    s = table(spark, sf, "customer").select(F.col("c_custkey").alias("source"), (F.col("c_acctbal") / 9973).alias("freshness"), ((F.col("c_custkey") % 10) / 10).alias("relevance"))
     return _rounded(R.claim_confidence(c, s, "claim", "source"))
 
 
@@ -204,11 +205,13 @@ def one_hop(spark: SparkSession, sf: str) -> DataFrame:
     return G.both_ways(M.nations(spark, sf)).groupBy("node", "other").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
 
 
-_SPARSE = with_("rel") + ", sp AS (SELECT from_id, to_id, weight, 1 AS active FROM rel WHERE (from_id * 7 + to_id * 3) % 11 = 0)"
+_SPARSE = f"WITH sp AS (SELECT id AS from_id, {ref_sql('merged_into_concept_id')} AS to_id, max(coalesce(residual, 0.5)) AS weight FROM concepts WHERE {ref_sql('merged_into_concept_id')} IS NOT NULL GROUP BY 1, 2)"
 
 
 def _sparse(spark: SparkSession, sf: str) -> DataFrame:
-    return M.nations(spark, sf).where((F.col("from_id") * 7 + F.col("to_id") * 3) % 11 == 0).withColumn("active", F.lit(1))
+    """The merges of all versions of concepts as relations: a graph of many small parts."""
+    c = table(spark, sf, "concepts").select(F.col("id").alias("from_id"), ref_key("merged_into_concept_id").alias("to_id"), F.coalesce("residual", F.lit(0.5)).alias("w")).where("to_id is not null")
+    return c.groupBy("from_id", "to_id").agg(F.max("w").alias("weight")).withColumn("active", F.lit(1))
 
 
 @query(_SPARSE + """, b AS (SELECT from_id AS node, to_id AS other, weight FROM sp UNION ALL SELECT to_id, from_id, weight FROM sp), n1 AS (SELECT node, other, max(weight) AS w FROM b WHERE node <> other GROUP BY 1, 2),
@@ -255,10 +258,10 @@ def relation_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return G.relation_matrix(M.nations(spark, sf))
 
 
-@query(_MAT + ", s AS (SELECT a, b, (a + b) % 10 / 10.0 AS weight FROM mat WHERE (a + b) % 3 <> 0) SELECT mat.a, mat.b, round(0.8 * coalesce(s.weight, 0) + 0.2 * mat.weight, 6) AS weight FROM mat LEFT JOIN s ON s.a = mat.a AND s.b = mat.b")
+@query(_MAT + ", s AS (SELECT a, b, (a + b) % 10 / 10.0 AS weight FROM mat) SELECT mat.a, mat.b, round(0.8 * coalesce(s.weight, 0) + 0.2 * mat.weight, 6) AS weight FROM mat LEFT JOIN s ON s.a = mat.a AND s.b = mat.b")
 def relation_blend(spark: SparkSession, sf: str) -> DataFrame:
     rel = M.nations(spark, sf)
-    sim = G.relation_matrix(rel).where((F.col("a") + F.col("b")) % 3 != 0).select("a", "b", ((F.col("a") + F.col("b")) % 10 / 10).alias("weight"))
+    sim = G.relation_matrix(rel).select("a", "b", ((F.col("a") + F.col("b")) % 10 / 10).alias("weight"))
     return _rounded(G.blended(sim, rel))
 
 
@@ -559,14 +562,15 @@ def lease_settle(spark: SparkSession, sf: str) -> DataFrame:
 
 # suggestions
 
-_PAIRS = f"""WITH st AS (SELECT fl_id AS id, fl_cluster AS cluster FROM state_chunks WHERE fl_cluster IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fl_id) = 1),
-v AS (SELECT {ref_sql('chunk_id')} AS id, embedding::DOUBLE[] AS v FROM chunk_embeddings WHERE {code_sql('model')} = 'lorevec-text-64' AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 QUALIFY row_number() OVER (PARTITION BY {ref_sql('chunk_id')} ORDER BY embedded_at DESC NULLS LAST, chunk_embeddings.id DESC) = 1),
-r AS (SELECT st.id, st.cluster, v.v FROM st JOIN v ON v.id = st.id), p AS (SELECT a.id AS a, b.id AS b, a.cluster, list_cosine_similarity(a.v, b.v) AS s FROM r a JOIN r b ON a.cluster = b.cluster AND a.id < b.id)"""
+_PAIRS = f"""WITH st AS (SELECT fl_id AS id, fl_cluster AS cluster FROM state_chunks WHERE fl_cluster IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fl_id ORDER BY fl_created_at DESC NULLS LAST, fl_cluster DESC) = 1),
+m AS (SELECT DISTINCT {code_sql('model')} AS model, dim FROM embed_models),
+v AS (SELECT {ref_sql('e.chunk_id')} AS id, m.model, e.embedding::DOUBLE[] AS v FROM chunk_embeddings e JOIN m ON {code_sql('e.model')} = m.model WHERE len(e.embedding) = m.dim AND len(list_filter(e.embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e.embedding, lambda x: x <> 0)) > 0 QUALIFY row_number() OVER (PARTITION BY {ref_sql('e.chunk_id')}, m.model ORDER BY e.embedded_at DESC NULLS LAST, e.id DESC) = 1),
+r AS (SELECT st.id, st.cluster, v.model, v.v FROM st JOIN v ON v.id = st.id), p AS (SELECT a.id AS a, b.id AS b, a.cluster, max(list_cosine_similarity(a.v, b.v)) AS s FROM r a JOIN r b ON a.cluster = b.cluster AND a.model = b.model AND a.id < b.id GROUP BY 1, 2, 3)"""
 
 
 def _clustered(spark: SparkSession, sf: str) -> DataFrame:
     """id, cluster, model, v: a clustered state chunk once for every model of embed_models of which it has a usable vector, the latest."""
-    st = table(spark, sf, "state_chunks").where("fl_cluster is not null").select(F.col("fl_id").alias("id"), F.col("fl_cluster").alias("cluster")).dropDuplicates(["id"])
+    st = table(spark, sf, "state_chunks").where("fl_cluster is not null").groupBy(F.col("fl_id").alias("id")).agg(F.max(F.struct("fl_created_at", F.col("fl_cluster").alias("cluster")))["cluster"].alias("cluster"))
     m = F.broadcast(table(spark, sf, "embed_models").select(code_key("model").alias("model"), "dim").dropDuplicates(["model"]))  # a fixed table of few rows
     e = table(spark, sf, "chunk_embeddings").select(ref_key("chunk_id").alias("chunk"), code_key("model").alias("model"), "embedding", "embedded_at", "id").join(m, "model").where(F.size("embedding") == F.col("dim"))
     e = e.where(F.forall("embedding", lambda x: F.abs(x) < float("inf")) & F.exists("embedding", lambda x: x != 0))
@@ -577,7 +581,7 @@ def _clustered(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_PAIRS + " SELECT a, b, cluster, round(s, 6) AS similarity, CASE WHEN s > 0.92 THEN 'merge' ELSE 'relate' END AS kind FROM p WHERE s >= 0.70")
 def suggest_merge_relate(spark: SparkSession, sf: str) -> DataFrame:
-    """SG1: vectors are compared within model and cluster; a pair that is similar under several models comes once, with the greatest cosine. The SQL has lorevec-text-64 only."""
+    """SG1: vectors are compared within model and cluster; a pair that is similar under several models comes once, with the greatest cosine."""
     r = _clustered(spark, sf)
     kind = r.schema["cluster"].dataType
     pairs = SG.similar_pairs(r.withColumn("group", F.concat_ws(":", "cluster", "model")), "id", "group", "v")
@@ -716,11 +720,11 @@ def status_cluster_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return G.disconnected_clusters(G.relation_matrix(M.nations(spark, sf)).where("weight > 0.95"), labels)
 
 
-@query(f"""WITH c AS (SELECT {code_sql('fl_embedding_model')} AS want, {ref_sql('fl_id')} AS id FROM state_chunks WHERE fl_embedding_model IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fl_id) = 1),
+@query(f"""WITH c AS (SELECT {code_sql('fl_embedding_model')} AS want, {ref_sql('fl_id')} AS id FROM state_chunks WHERE fl_embedding_model IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fl_id ORDER BY fl_created_at DESC NULLS LAST, fl_embedding_model DESC) = 1),
 e AS (SELECT DISTINCT {ref_sql('chunk_id')} AS id, {code_sql('model')} AS model FROM chunk_embeddings)
 SELECT c.want AS model, count(*) AS chunks, count(*) FILTER (e.id IS NULL) AS missing FROM c LEFT JOIN e ON e.id = c.id AND e.model = c.want GROUP BY 1""")
 def embedding_mismatch(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "state_chunks").where("fl_embedding_model is not null").dropDuplicates(["fl_id"]).select(ref_key("fl_id").alias("id"), code_key("fl_embedding_model").alias("model"))
+    c = table(spark, sf, "state_chunks").where("fl_embedding_model is not null").groupBy("fl_id").agg(F.max(F.struct("fl_created_at", "fl_embedding_model"))["fl_embedding_model"].alias("fl_embedding_model")).select(ref_key("fl_id").alias("id"), code_key("fl_embedding_model").alias("model"))
     e = table(spark, sf, "chunk_embeddings").select(ref_key("chunk_id").alias("id"), code_key("model").alias("model"), F.lit(True).alias("there")).distinct()
     return c.join(e, ["id", "model"], "left").groupBy("model").agg(F.count("*").alias("chunks"), F.count_if(F.col("there").isNull()).alias("missing"))
 
@@ -732,11 +736,11 @@ def open_targets(spark: SparkSession, sf: str) -> DataFrame:
     return L.check_targets(r, M.concepts(spark, sf).select("name", "status"))
 
 
-@query(with_("com", "tree") + """, e AS (SELECT l_suppkey AS concept_id, l_orderkey * 10 + l_linenumber AS entry_id, l_linenumber AS position FROM lineitem), u AS (SELECT concept_id, max(chunk_id) AS chunk_id, min(chunk_id) AS base_chunk_id FROM tree WHERE concept_id % 3 <> 0 GROUP BY 1)
+@query(with_("com", "tree") + """, e AS (SELECT l_partkey AS concept_id, l_orderkey * 10 + l_linenumber AS entry_id, l_linenumber AS position FROM lineitem), u AS (SELECT concept_id, max(chunk_id) AS chunk_id, min(chunk_id) AS base_chunk_id FROM tree GROUP BY 1)
 SELECT x.concept_id, x.n AS n_entries, x.f AS first_entry, u.chunk_id, CASE WHEN u.chunk_id IS NULL THEN 'create' WHEN u.base_chunk_id <> u.chunk_id THEN 'merge' ELSE 'update' END AS action FROM (SELECT concept_id, count(*) AS n, arg_min(entry_id, position::BIGINT * 1000000000000 + entry_id) AS f FROM e GROUP BY 1) x LEFT JOIN u ON u.concept_id = x.concept_id""")
 def close_plan(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("concept_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entry_id"), F.col("l_linenumber").alias("position"))
-    u = M.trees(spark, sf).where("concept_id % 3 <> 0").groupBy("concept_id").agg(F.max("chunk_id").alias("chunk_id"), F.min("chunk_id").alias("base_chunk_id"))
+    e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("concept_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entry_id"), F.col("l_linenumber").alias("position"))
+    u = M.trees(spark, sf).groupBy("concept_id").agg(F.max("chunk_id").alias("chunk_id"), F.min("chunk_id").alias("base_chunk_id"))
     return L.close_plan(e, u)
 
 

@@ -40,7 +40,9 @@ def bindings(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """State chunks: id, concept, supersedes, status, created, vector of their own model."""
-    s = table(spark, sf, "state_chunks").dropDuplicates(["fl_id"])
+    s = table(spark, sf, "state_chunks")
+    rest = [c for c in s.columns if c not in ("fl_id", "fl_created_at")]
+    s = s.groupBy("fl_id").agg(F.max(F.struct("fl_created_at", *rest)).alias("r")).select("fl_id", "r.*")  # repeated rows: the latest, then the greatest
     return s.select(F.col("fl_id").alias("id"), ref_key("fl_concept_id").alias("concept_id"), ref_key("fl_supersedes").alias("supersedes_id"), code_key("fl_lifecycle_status").alias("status"), "fl_narrative_origin", "fl_created_at", "fl_residual", "fl_staleness", "fl_cluster")
 
 
@@ -102,7 +104,7 @@ SQL = {
     "cur": f"cur AS (SELECT *, coalesce({code_sql('lifecycle_status')}, 'active') AS status FROM concepts QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)",
     "sym": "sym AS (SELECT * FROM symbols QUALIFY row_number() OVER (PARTITION BY id ORDER BY scanned_at DESC) = 1)",
     "bind": f"bind AS (SELECT * FROM (SELECT * REPLACE ({ref_sql('concept_id')} AS concept_id, {ref_sql('symbol_id')} AS symbol_id) FROM concept_symbols) WHERE concept_id IS NOT NULL AND symbol_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY concept_id, symbol_id ORDER BY updated_at DESC NULLS LAST, id DESC) = 1)",
-    "chunks": f"chunks AS (SELECT fl_id AS id, {ref_sql('fl_concept_id')} AS concept_id, {ref_sql('fl_supersedes')} AS supersedes_id, {code_sql('fl_lifecycle_status')} AS status, fl_narrative_origin, fl_created_at, fl_residual, fl_staleness, fl_cluster FROM state_chunks QUALIFY row_number() OVER (PARTITION BY fl_id) = 1)",
+    "chunks": f"chunks AS (SELECT fl_id AS id, {ref_sql('fl_concept_id')} AS concept_id, {ref_sql('fl_supersedes')} AS supersedes_id, {code_sql('fl_lifecycle_status')} AS status, fl_narrative_origin, fl_created_at, fl_residual, fl_staleness, fl_cluster FROM state_chunks QUALIFY row_number() OVER (PARTITION BY fl_id ORDER BY fl_created_at DESC NULLS LAST, fl_type DESC NULLS LAST, fl_concept DESC NULLS LAST, fl_concept_id DESC NULLS LAST, fl_supersedes DESC NULLS LAST, fl_superseded_by DESC NULLS LAST, fl_narrative_origin DESC NULLS LAST, fl_version DESC NULLS LAST, fl_residual DESC NULLS LAST, fl_staleness DESC NULLS LAST, fl_cluster DESC NULLS LAST) = 1)",
     "docs": f"docs AS (SELECT doc_id, text, fl_type, {code_sql('source')} AS narrative, created_at FROM documents)",
     "rel": "sums AS (SELECT c_nationkey AS from_id, s_nationkey AS to_id, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2), rel AS (SELECT from_id, to_id, round(q / (SELECT max(q) FROM sums), 6) AS weight, CASE WHEN q > 0.3 * (SELECT max(q) FROM sums) THEN 1 ELSE 0 END AS active FROM sums)",
     "sites": "sites AS (SELECT l_suppkey AS caller, 1000000 + l_partkey AS callee, l_orderkey AS file, l_linenumber AS line, l_orderkey * 10 + l_linenumber AS place FROM lineitem)",

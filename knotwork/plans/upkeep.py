@@ -132,13 +132,13 @@ def latest_signals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(U.latest_signals(_signals(spark, sf), M.concepts(spark, sf).where("status = 'active'"), 25).select("id", "name", "final_stale"))
 
 
-_NEIGHBOURS = """fs AS (SELECT n_nationkey AS id, round((n_nationkey % 7) / 7.0::DOUBLE, 6) AS final_stale FROM nation WHERE n_nationkey % 5 <> 0),
+_NEIGHBOURS = """fs AS (SELECT n_nationkey AS id, round((n_nationkey % 7) / 7.0::DOUBLE, 6) AS final_stale FROM nation),
 nb AS (SELECT x.id, n.n_name AS concept, x.direction, x.weight, fs.final_stale, row_number() OVER (PARTITION BY x.id ORDER BY x.weight DESC, n.n_name, x.direction) AS pos FROM (
   SELECT from_id AS id, to_id AS other, 'outbound' AS direction, weight FROM rel WHERE active = 1 UNION ALL SELECT to_id, from_id, 'inbound', weight FROM rel WHERE active = 1 AND from_id <> to_id) x JOIN nation n ON n.n_nationkey = x.other LEFT JOIN fs ON fs.id = x.other)"""
 
 
 def _final(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "nation").where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("id"), F.round(F.col("n_nationkey") % 7 / 7, 6).alias("final_stale"))
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.round(F.col("n_nationkey") % 7 / 7, 6).alias("final_stale"))
 
 
 def _nation_concepts(spark: SparkSession, sf: str) -> DataFrame:

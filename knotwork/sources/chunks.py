@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 # Languages by extension, folders that are skipped, extensions of texts.
 LANGUAGES = {".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".py": "python", ".go": "go", ".rs": "rust", ".ex": "elixir", ".exs": "elixir"}
 SKIPPED = ("node_modules", ".git", "dist", "build", "__pycache__", "target", "vendor", ".next", ".nuxt", "coverage", ".turbo", ".cache")
-TEXTS = (".md", ".mdx", ".txt", ".rst", ".adoc", ".org", ".tex", ".markdown", ".text")
+TEXTS = (".md", ".mdx", ".txt", ".rst", ".yaml", ".yml", ".json", ".toml", ".adoc")
 
 
 def _scalar(text: str) -> object:

@@ -45,8 +45,8 @@ def test_analytic_calls(kg, spark):
     assert kg.symbol_search("x").count() == 0 and kg.relations().count() == 0
     req = spark.createDataFrame([("q", ["auth", "Old", "New", "auth"])], "request_id string, targets array<string>")
     assert {(r["target"], r["verdict"]) for r in kg.open(req).collect()} == {("auth", "ok"), ("Old", "inactive"), ("New", "missing")}
-    new = kg.rename("c1", "Auth2", "v9", F.lit(DAY).cast("timestamp_ntz")).first()
-    assert (new["name"], new["version_id"], new["seq"]) == ("Auth2", "v9", 3)
+    new = kg.rename("c1", "Auth2", "v9", F.lit(DAY).cast("timestamp_ntz"), F.lit(99)).first()
+    assert (new["name"], new["version_id"], new["seq"]) == ("Auth2", "v9", 99)
 
 
 def test_routing_and_closing(spark):

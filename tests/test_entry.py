@@ -20,7 +20,7 @@ def test_some_queries_equal_their_sql(spark, data):
     import compare
 
     con = compare.duck(data)
-    for name in ("latest_version", "concept_coverage", "scorecard", "tree_diff", "lease_order", "p3_found", "p4_found", "p7_found"):
+    for name in ("latest_version", "concept_coverage", "scorecard", "tree_diff", "lease_order", "p3_found", "p4_found", "p7_found", "bm25_scripts", "six_lane_search", "hydrated_results", "ground_residual", "concept_discovery", "lifecycle_rebind", "rescan_plan", "summary_hints"):
         said = compare.compare(spark, con, data, name)
         assert said.startswith("ok"), said
 

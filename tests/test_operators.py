@@ -3,6 +3,8 @@
 import datetime as dt
 
 import numpy as np
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,7 +225,11 @@ def test_texts(spark):
     chunks = T.chunk_markdown("# A\n" + "x" * 40 + "\n```\n# no\n```\n# B\n" + "y" * 40, 15, 0.0)
     assert [h for _, h, _ in chunks] == ["A", "A > B"] and "# no" in chunks[0][0]
     assert [(op, x) for op, _, _, x in T.line_diff("a\nb", "a\nc")] == [("same", "a"), ("remove", "b"), ("add", "c")]
-    assert T.line_diff("x\n" * 600, "y") == [] and T.line_diff("a", "a") == []
+    assert T.line_diff("x\n" * 600, "y") == [] and T.line_diff("a", "a") == [] and len(T.line_diff("x\n" * 600, "x\n" * 601, max_lines=None)) == 4
+    far = T.hunks(T.edit_script([str(i) for i in range(40)], ["x", *[str(i) for i in range(1, 30)], "y", *[str(i) for i in range(31, 40)]]))
+    assert [(h[0][1:3], len(h)) for h in far] == [((1, 0), 5), ((28, 28), 8)] or len(far) == 2
+    big = spark.createDataFrame([(1, "a\n" * 501, "b"), (2, None, "b")], "id int, old string, new string")
+    assert {(r["id"], r["op"]) for r in T.line_diffs(big, "id").collect()} == {(1, "too-large"), (2, "remove"), (2, "add")}
     docs = spark.createDataFrame([(1, "uses parseJSON here"), (2, None)], "id int, text string")
     names = spark.createDataFrame([("parseJSON", "s1"), ("us", "s2"), ("pars", "s3")], "name string, name_id string")
     assert [(r["id"], r["name_id"]) for r in T.mentions(docs, "id", "text", names).collect()] == [(1, "s1")]
@@ -267,3 +273,32 @@ def test_lease_stream(spark, tmp_path):
     q.awaitTermination()
     got = [(r["id"], r["status"], r["owner"], r["attempt"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert got == [(1, "leased", "w1", 1), (1, "queued", "w1", 1), (2, "leased", "w2", 1), (2, "done", "w2", 1), (1, "leased", "w3", 2), (1, "leased", "w5", 3)]
+
+
+def test_edit_scripts_follow_a_longest_common_subsequence():
+    rng = random.Random(12)
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(25))] for _ in range(2))
+        script = T.edit_script(a, b)
+        assert sum(op == "same" for op, *_ in script) == lcs(a, b)
+        assert [x for op, _, _, x in script if op != "add"] == a and [x for op, _, _, x in script if op != "remove"] == b
+
+
+def test_three_way_merges(spark):
+    base = "a\nb\nc\nd"
+    assert T.merge3(base, "a\nB\nc\nd", "a\nb\nc\nD") == ("a\nB\nc\nD", 0)
+    assert T.merge3(base, base, "x\n" + base) == ("x\n" + base, 0) and T.merge3(base, "a\nc\nd", "a\nc\nd") == ("a\nc\nd", 0)
+    text, faults = T.merge3(base, "a\nX\nc\nd", "a\nY\nc\nd")
+    assert faults == 1 and text == "a\n<<<<<<<\nX\n=======\nY\n>>>>>>>\nc\nd"
+    df = spark.createDataFrame([(1, None, "n", None)], "id int, base string, ours string, theirs string")
+    assert [tuple(r) for r in T.merged(df, "id").collect()] == [(1, "n", 0)]
