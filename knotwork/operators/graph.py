@@ -6,6 +6,7 @@ Edges stay DataFrames. Only matrices under MATRIX_ROWS nodes, whose size is chec
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,24 +60,36 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 def personalized_pagerank(spark: SparkSession, edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, iterations: int = ITERATIONS) -> DataFrame:
     """GR5: node, score. Seeds (node; repeats count) share the restart; what stands on a node without edges is lost.
 
-    edges: source, target, weight. Each iteration is one join and one pre-aggregated sum; every fourth is
-    written, so plans stay short.
+    edges: source, target, weight. Each iteration is one join and one pre-aggregated sum; every fourth and the
+    last are written, so plans stay short.
     """
     tmp = Scratch(spark)
     n = seeds.count()
     if not n:
         return seeds.select("node", F.lit(0.0).alias("score"))
-    start = seeds.groupBy("node").agg((F.count("*") / n).alias("score"))
+    start = tmp.cut(seeds.groupBy("node").agg((F.count("*") / n).alias("score")))
     edges = tmp.cut(edges.select("source", "target", "weight"))
+    # only what can be reached in as many steps carries any score
+    near = start.select("node")
+    reached, frontier = near, near
+    for _ in range(iterations):
+        step = edges.join(frontier.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node")).distinct()
+        frontier = tmp.cut(step.join(reached, "node", "left_anti"))
+        if not frontier.limit(1).count():
+            break
+        reached = reached.unionByName(frontier)
     out = edges.groupBy("source").agg(F.sum("weight").alias("total"))
-    shares = tmp.cut(edges.join(out, "source").select(F.col("source").alias("node"), "target", (F.col("weight") / F.col("total")).alias("share")))
-    tmp.release(edges)
+    shares = edges.join(out, "source").select(F.col("source").alias("node"), "target", (F.col("weight") / F.col("total")).alias("share"))
+    # kept in the memory or on the disk of the executors as it was divided, so no step shuffles it again; a lost part is made again
+    shares = shares.join(reached, "node", "left_semi").repartition("node").persist(StorageLevel.MEMORY_AND_DISK)
     scores = start
     for i in range(iterations):
         walked = scores.join(shares, "node").select(F.col("target").alias("node"), ((1 - alpha) * F.col("score") * F.col("share")).alias("score"))
         scores = walked.unionByName(start.select("node", (alpha * F.col("score")).alias("score"))).groupBy("node").agg(F.sum("score").alias("score"))
-        if i % 4 == 3:
+        if i % 4 == 3 or i + 1 == iterations:
             scores = tmp.cut(scores)
+    shares.unpersist()
+    tmp.release(edges)
     return scores
 
 

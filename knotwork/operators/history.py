@@ -40,18 +40,24 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str], attrs: list[str],
     )
 
 
-def next_in_key(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
-    """out = the next larger value of order, a time, in the key: found in its second, or as the head of a later second or day."""
-    df = df.withColumn("__s", F.date_trunc("second", order)).withColumn("__d", F.to_date(order))
-    near = df.withColumn("__near", F.lead(order).over(Window.partitionBy(key, "__s").orderBy(order)))
-    seconds = df.groupBy(key, "__d", "__s").agg(F.min(order).alias("__head"))
-    days = seconds.groupBy(key, "__d").agg(F.min("__head").alias("__first"))
-    days = days.select(F.col(key).alias("__dk"), F.col("__d").alias("__dd"), F.lead("__first").over(Window.partitionBy(key).orderBy("__d")).alias("__later"))
-    seconds = seconds.withColumn("__far", F.lead("__head").over(Window.partitionBy(key, "__d").orderBy("__s")))
-    seconds = seconds.join(days, (F.col(key) == F.col("__dk")) & (F.col("__d") == F.col("__dd")))
-    seconds = seconds.select(F.col(key).alias("__k"), F.col("__s").alias("__u"), F.coalesce("__far", "__later").alias("__far"))
-    joined = near.join(seconds, (F.col(key) == F.col("__k")) & (F.col("__s") == F.col("__u")))
-    return joined.withColumn(out, F.coalesce("__near", "__far")).drop("__near", "__far", "__k", "__u", "__s", "__d")
+def next_in_key(alone: DataFrame, others: DataFrame, key: str, order: str, out: str) -> DataFrame:
+    """The rows of both with out = the next larger value of order, a time, in the key, null for the last. Both have a column day, that of order.
+
+    alone: rows that are the only one of their key and day; others: the rest, of other days. Of each day one row goes through a
+    window of the key's days; rows of shared days look in their second, then in their day, then at the next day.
+    """
+    names = [c for c in alone.columns if c not in (key, "day", order)]
+    heads = others.groupBy(key, "day").agg(F.min(order).alias(order)).select(key, "day", order, F.lit(None).cast(alone.select(F.struct(*names)).schema[0].dataType).alias("__r"), F.lit(False).alias("__alone"))
+    days = alone.select(key, "day", order, F.struct(*names).alias("__r"), F.lit(True).alias("__alone")).unionByName(heads)
+    days = days.withColumn(out, F.lead(order).over(Window.partitionBy(key).orderBy("day")))
+    first = days.where("__alone").select(key, "day", order, "__r.*", out)
+    later = days.where(~F.col("__alone")).select(F.col(key).alias("__dk"), F.col("day").alias("__dd"), F.col(out).alias("__later"))
+    rest = others.withColumn("__s", F.date_trunc("second", order))
+    near = rest.withColumn("__near", F.lead(order).over(Window.partitionBy(key, "__s").orderBy(order)))
+    seconds = rest.groupBy(key, "day", "__s").agg(F.min(order).alias("__head")).withColumn("__far", F.lead("__head").over(Window.partitionBy(key, "day").orderBy("__s")))
+    seconds = seconds.join(later, (F.col(key) == F.col("__dk")) & (F.col("day") == F.col("__dd"))).select(F.col(key).alias("__k"), F.col("__s").alias("__u"), F.coalesce("__far", "__later").alias("__far"))
+    second = near.join(seconds, (F.col(key) == F.col("__k")) & (F.col("__s") == F.col("__u"))).withColumn(out, F.coalesce("__near", "__far"))
+    return first.unionByName(second.select(*first.columns))
 
 
 def history_of_snapshots(snapshots: list[tuple[object, DataFrame]], keys: list[str], attrs: list[str]) -> DataFrame:
@@ -80,30 +86,38 @@ def history_of_versions(versions: DataFrame, key: str, version: str, at: str, se
     without a version counts by itself; a null seq is lower than any other. An empty table gives no rows.
     """
     rows = versions.select(F.col(key).alias("k"), F.col(version).alias("v"), F.col(at).alias("t"), F.coalesce(F.col(seq), F.lit(-(2**62))).alias("s"), *[c.alias(a) for a, c in attrs.items()])
-    pack = F.struct("k", "t", "v", "s", *attrs)
-    counted = rows.groupBy(F.coalesce(F.concat(F.lit("v"), "v"), F.concat(F.lit("s"), F.col("s").cast("string"), F.lit("k"), F.coalesce("k", F.lit("")))).alias("g")).agg(F.max_by(pack, "s").alias("r")).select("r.*")
-    counted = counted.where(F.col("k").isNotNull() & F.col("t").isNotNull())
-    states = counted.groupBy("k", "t").agg(F.max_by(F.struct("v", *attrs), "s").alias("r")).select("k", "t", "r.*")
+    unnamed = F.col("v").isNull()
+    counted = rows.groupBy("v", F.when(unnamed, F.col("s")).alias("us"), F.when(unnamed, F.coalesce("k", F.lit(""))).alias("uk")).agg(F.max_by(F.struct("k", "t", "s", *attrs), "s").alias("r")).select("v", "r.*")
+    counted = counted.where(F.col("k").isNotNull() & F.col("t").isNotNull()).withColumn("day", F.to_date("t"))
+    # divided by key and day once: the states and their number in the day follow without another shuffle
+    states = counted.repartition("k", "day").groupBy("k", "day", "t").agg(F.max_by(F.struct("v", *attrs), "s").alias("r")).select("k", "day", "t", "r.*")
     tmp = Scratch(versions.sparkSession)
-    events = next_in_key(tmp.cut(_events(tmp, tmp.cut(states), list(attrs))), "k", "t", "valid_to")
-    return events.select(F.col("k").alias(key), F.col("v").alias(version), *attrs, F.col("t").alias("valid_from"), "valid_to")
+    states = tmp.cut(states.withColumn("n", F.count("*").over(Window.partitionBy("k", "day"))))
+    alone, others = _events(tmp, states, list(attrs))
+    return next_in_key(alone, others, "k", "t", "valid_to").select(F.col("k").alias(key), F.col("v").alias(version), *attrs, F.col("t").alias("valid_from"), "valid_to")
 
 
-def _events(tmp: Scratch, states: DataFrame, attrs: list[str]) -> DataFrame:
-    """k, t, v, attrs of the states (one a key and instant) that are their key's first or differ from the one before."""
-    states = states.withColumn("day", F.to_date("t")).withColumn("second", F.date_trunc("second", "t")).withColumn("instant", F.col("t"))
-    found, group, seeds = [], ["k"], None
+def _events(tmp: Scratch, states: DataFrame, attrs: list[str]) -> tuple[DataFrame, DataFrame]:
+    """k, day, t, v, attrs of the states that are their key's first or differ from the one before: those alone on their day, and the others.
+
+    states: k, day, t, v, attrs, n: one a key and instant; n is the number of the key's states that day.
+    """
+    last = F.max(F.struct("t", "v", *attrs)).alias("r")
+    found, group, seeds, left = [], ["k"], None, states.where("n > 1").drop("n").withColumn("second", F.date_trunc("second", "t")).withColumn("instant", F.col("t"))
     for period in ("day", "second", "instant"):
-        snaps = states.groupBy(*group, period).agg(F.max(F.struct("t", "v", *attrs)).alias("r"), F.count("*").alias("n")).select(*group, period, "n", "r.*")
+        snaps = left.groupBy(*group, period).agg(last, F.count("*").alias("n")).select(*group, period, "n", "r.*")
+        if period == "day":
+            snaps = states.where("n = 1").select(*snaps.columns).unionByName(snaps)
         snaps = snaps.withColumn("j", F.row_number().over(Window.partitionBy(*group).orderBy(period)))
         before = snaps.select(*group, (F.col("j") + 1).alias("j"), *attrs)
         before = before if seeds is None else before.unionByName(seeds)
         d = tmp.cut(diff(before, snaps, [*group, "j"], attrs, (period, "n", "t", "v")))
-        found.append(d.where((F.col("n") == 1) & F.col("change").isin("inserted", "changed")).select("k", "t", "v", *[F.col(f"{a}_new").alias(a) for a in attrs]))
+        found.append(d.where((F.col("n") == 1) & F.col("change").isin("inserted", "changed")).select("k", "day", "t", "v", *[F.col(f"{a}_new").alias(a) for a in attrs]))
         several = d.where("n > 1")
         if not several.limit(1).count():  # each snapshot is the one state of its period
             break
         group = [*group, period]
-        states = states.join(several.select(*group), group, "left_semi")
+        left = left if period == "day" else left.join(several.select(*group), group, "left_semi")
         seeds = several.where("change <> 'inserted'").select(*group, F.lit(1).alias("j"), *[F.col(f"{a}_old").alias(a) for a in attrs])
-    return reduce(DataFrame.unionByName, found)
+    rest = found[1:] or [found[0].limit(0)]
+    return found[0], reduce(DataFrame.unionByName, rest)
