@@ -50,8 +50,8 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("max_chars", F.coalesce("m1", "m2")).withColumn("overlap_chars", F.when(F.col("m1").isNotNull(), F.col("o1")).otherwise(F.col("o2")))
     rows = rows.withColumn("big", F.coalesce((F.col("max_chars") > 0) & (F.length("content") > F.col("max_chars")), F.lit(False)))
     rows = rows.withColumn("order", F.struct("fl_created_at", F.length("content").alias("n"), F.md5(F.col("content").cast("binary")).alias("m"), "first_line", "max_chars", "overlap_chars"))
-    newest = rows.groupBy("item_table", "item_id").agg(F.max(F.struct("order", "big")).alias("r")).where("r.big").select("item_table", "item_id", "r.order")
-    texts = rows.where("big").join(newest, ["item_table", "item_id", "order"]).dropDuplicates(["item_table", "item_id"])
+    newest = rows.groupBy("item_table", "item_id").agg(F.max(F.struct("order", "big")).alias("r")).where("r.big").select("item_table", "item_id", F.col("r.order").alias("newest"))
+    texts = rows.where("big").join(newest, ["item_table", "item_id"]).where(F.col("order") == F.col("newest")).dropDuplicates(["item_table", "item_id"])
     return texts.select("item_table", "item_id", "content", "first_line", "max_chars", "overlap_chars")
 
 
