@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.operators import changes as CH
 from knotwork.operators import health as H
 from knotwork.operators import suggest as SG
 from knotwork.operators import upkeep as U
@@ -12,7 +13,7 @@ from knotwork.plans import mapping as M
 from knotwork.plans import search as S
 from knotwork.plans.mapping import NOW, with_
 from knotwork.plans.registry import registry
-from knotwork.tables import micros, ref_key, ref_sql, table
+from knotwork.tables import code_key, code_sql, micros, ref_key, ref_sql, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -267,3 +268,52 @@ def debt_reducers(spark: SparkSession, sf: str) -> DataFrame:
     """SL4, SG1: the projection of the debt after the three best."""
     out = SG.debt_reducers(_ranked_suggestions(spark, sf), 60.0)
     return rounded(out.select("id", "kind", "reduction", F.col("pos").cast("long").alias("pos"), "debt_left"))
+
+
+_PRESSURE = "greatest(0.6 * coalesce(ground_residual, churn, 0) + 0.4 * coalesce(lore_residual, 0), coalesce(staleness, 0), 0)"
+
+
+@query(with_("cur", "sym", "bind") + f""", ca AS (SELECT *, {_PRESSURE} AS p FROM cur WHERE status = 'active'), hs AS (SELECT greatest(0, least(1, sum(coalesce(staleness, 0) * greatest(0.001, p)) / sum(greatest(0.001, p)))) AS v FROM (SELECT * FROM ca ORDER BY p DESC, id LIMIT 20)),
+dr AS (SELECT avg((b.bound_body_hash IS DISTINCT FROM s.body_hash)::INT::DOUBLE) AS v FROM bind b JOIN sym s ON s.id = b.symbol_id),
+st AS (SELECT file_path, content_hash AS d FROM source_files), fo AS (SELECT fl_source_file AS file_path, max(fl_body_hash) AS d FROM source_chunks WHERE fl_source_file IS NOT NULL GROUP BY 1),
+cf AS (SELECT avg((fo.file_path IS NULL OR st.d IS DISTINCT FROM fo.d)::INT::DOUBLE) AS v FROM st LEFT JOIN fo ON fo.file_path = st.file_path),
+df AS (SELECT avg((m < TIMESTAMP '{NOW}' - INTERVAL 180 DAY)::INT::DOUBLE) AS v FROM (SELECT fl_id, max(fl_created_at) AS m FROM doc_chunks GROUP BY 1)),
+cg AS (SELECT 1 - (SELECT count(DISTINCT b.symbol_id) FROM bind b JOIN sym s ON s.id = b.symbol_id)::DOUBLE / count(*) AS v FROM sym),
+em AS (SELECT avg((e.id IS NULL)::INT::DOUBLE) AS v FROM (SELECT {ref_sql('fl_id')} AS id, arg_max({code_sql('fl_embedding_model')}, struct_pack(t := fl_created_at, m := {code_sql('fl_embedding_model')})) AS model FROM state_chunks GROUP BY 1) c LEFT JOIN (SELECT DISTINCT {ref_sql('chunk_id')} AS id, {code_sql('model')} AS model FROM chunk_embeddings) e ON e.id = c.id AND e.model = c.model),
+nr AS (SELECT {ref_sql('fl_narrative_origin')} AS id, count(*) AS n, min(fl_created_at) AS o FROM state_chunks WHERE {ref_sql('fl_narrative_origin')} IS NOT NULL GROUP BY 1),
+hy AS (SELECT greatest(0, least(1, 2 * k / greatest(4, n + 2 * k))) AS v FROM (SELECT count(*)::DOUBLE AS n, count(*) FILTER (date_diff('second', o, TIMESTAMP '{NOW}') > 259200)::DOUBLE AS k FROM nr)),
+pp AS (SELECT t.v AS t, a.m, a.h, CASE WHEN a.m > 0 THEN greatest(0, least(1, (t.v - a.m) / greatest(0.1, 1 - a.m))) ELSE greatest(0, least(1, t.v)) END AS k FROM (SELECT avg(p) AS v FROM (SELECT p FROM ca ORDER BY p DESC, id LIMIT 5)) t, (SELECT avg(p) AS m, avg((p >= 0.4)::INT::DOUBLE) AS h FROM ca) a),
+co AS (SELECT hs.v AS staleness, dr.v AS symbol_drift, cf.v AS code_freshness, df.v AS doc_freshness, cg.v AS coverage_gap, em.v AS embedding_mismatch, hy.v AS hygiene, greatest(0, least(1, 0.65 * pp.t + 0.2 * pp.h + 0.15 * pp.k)) AS priority_pressure FROM hs, dr, cf, df, cg, em, hy, pp),
+de AS (SELECT *, greatest(0, least(100, 100 * (0.27 * staleness + 0.23 * symbol_drift + 0.18 * code_freshness + 0.08 * doc_freshness + 0.10 * coverage_gap + 0.04 * embedding_mismatch + 0.05 * hygiene + 0.05 * priority_pressure))) AS debt FROM co)
+SELECT round(staleness, 6) AS staleness, round(symbol_drift, 6) AS symbol_drift, round(code_freshness, 6) AS code_freshness, round(doc_freshness, 6) AS doc_freshness, round(coverage_gap, 6) AS coverage_gap, round(embedding_mismatch, 6) AS embedding_mismatch, round(hygiene, 6) AS hygiene, round(priority_pressure, 6) AS priority_pressure,
+  round(debt, 6) AS debt, round(100 - debt, 6) AS confidence, CASE WHEN debt <= 25 THEN 'healthy' WHEN debt <= 50 THEN 'caution' WHEN debt <= 75 THEN 'high' ELSE 'critical' END AS band FROM de""")
+def ask_debt_live(spark: SparkSession, sf: str) -> DataFrame:
+    """HS9: the eight components from the tables themselves, one row each, and the debt they make."""
+    c = M.concepts(spark, sf).where("status = 'active'").withColumn("drift", F.lit(None).cast("double"))
+    s, b = M.symbols(spark, sf), M.bindings(spark, sf)
+    share = lambda cond, name: F.avg(cond.cast("int").cast("double")).alias(name)
+    bound = b.select("symbol_id", "bound_body_hash").join(s.select(F.col("id").alias("symbol_id"), "body_hash"), "symbol_id")
+    drift = bound.agg(share(~F.col("bound_body_hash").eqNullSafe(F.col("body_hash")), "symbol_drift"), F.count_distinct("symbol_id").alias("__bound"))
+    stored = table(spark, sf, "source_files").select("file_path", F.col("content_hash").alias("digest"))
+    found = table(spark, sf, "source_chunks").where("fl_source_file is not null").groupBy(F.col("fl_source_file").alias("file_path")).agg(F.max("fl_body_hash").alias("digest"))
+    code = CH.rescan(stored, found).where("action <> 'add'").agg(share(F.col("action") != "skip", "code_freshness"))
+    doc = table(spark, sf, "doc_chunks").groupBy("fl_id").agg(F.max("fl_created_at").alias("m")).agg(share(F.col("m") < M.now() - F.expr("INTERVAL 180 DAYS"), "doc_freshness"))
+    n = s.agg(F.count("*").alias("__symbols"))
+    model = table(spark, sf, "state_chunks").groupBy(ref_key("fl_id").alias("id")).agg(F.max(F.struct("fl_created_at", code_key("fl_embedding_model").alias("model")))["model"].alias("model"))
+    held = table(spark, sf, "chunk_embeddings").select(ref_key("chunk_id").alias("id"), code_key("model").alias("model"), F.lit(True).alias("there")).distinct()
+    mismatch = model.join(held, ["id", "model"], "left").agg(share(F.col("there").isNull(), "embedding_mismatch"))
+    narr = table(spark, sf, "state_chunks").groupBy(ref_key("fl_narrative_origin").alias("id")).agg(F.lit("open").alias("status"), F.count("*").alias("entry_count"), F.min("fl_created_at").alias("opened_at")).where("id is not null")
+    one = H.hot_staleness(c).withColumnRenamed("hot_staleness", "staleness")
+    for part in (drift, code, doc, n, mismatch, H.hygiene(narr, M.now()).select(F.col("risk").alias("hygiene")), H.priority_pressure(c)):
+        one = one.join(F.broadcast(part))  # one row each
+    one = one.withColumn("coverage_gap", 1 - F.col("__bound") / F.col("__symbols"))
+    return rounded(H.ask_debt(one.drop("__bound", "__symbols")).drop("retrieval_multiplier", "staleness_multiplier").select(*H.ASK_WEIGHTS, "debt", "confidence", "band"))
+
+
+@query("""WITH l AS (SELECT max(ts) AS t FROM events) SELECT event_type, count(*) FILTER (ts > t - INTERVAL 72 HOUR) AS in_72h, count(*) FILTER (ts > t - INTERVAL 14 DAY) AS in_14d, count(*) FILTER (ts > t - INTERVAL 30 DAY) AS in_30d FROM events, l GROUP BY 1""")
+def interaction_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """QU7: events of the last 72 hours, 14 and 30 days before the last one."""
+    e = table(spark, sf, "events")
+    j = e.join(F.broadcast(e.agg(F.max("ts").alias("t"))))  # one row
+    n = lambda span, name: F.count_if(F.col("ts") > F.col("t") - F.expr(f"INTERVAL {span}")).alias(name)
+    return j.groupBy("event_type").agg(n("72 HOURS", "in_72h"), n("14 DAYS", "in_14d"), n("30 DAYS", "in_30d"))
