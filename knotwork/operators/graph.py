@@ -57,6 +57,28 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def call_graph(sites: DataFrame, seeds: DataFrame, degrees: int = 2, each: int = 5) -> DataFrame:
+    """GR3: direction ('up', 'down'), depth, name, other, file, line, snippet of the calls around the seeds (name).
+
+    In each direction the first `each` sites of every symbol of the frontier, by file and line, are results; what they lead to is the
+    next frontier unless it was visited, so visits limit the way on but not the results. Snippets stay at depth 0 only.
+    """
+    parts = []
+    for direction, key, to in (("up", "callee", "caller"), ("down", "caller", "callee")):
+        seen = frontier = seeds.select("name").distinct()
+        w = Window.partitionBy("name").orderBy("file", "line", to)
+        for depth in range(degrees):
+            hits = sites.where(F.col(to).isNotNull()).join(frontier, F.col(key) == F.col("name")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= each)
+            snippet = F.col("snippet") if depth == 0 else F.lit(None).cast("string")
+            parts.append(hits.select(F.lit(direction).alias("direction"), F.lit(depth).alias("depth"), "name", F.col(to).alias("other"), "file", "line", snippet.alias("snippet")))
+            frontier = hits.select(F.col(to).alias("name")).distinct().join(seen, "name", "left_anti")
+            seen = seen.unionByName(frontier)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def personalized_pagerank(spark: SparkSession, edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, iterations: int = ITERATIONS) -> DataFrame:
     """GR5: node, score. Seeds (node; repeats count) share the restart; what stands on a node without edges is lost.
 
@@ -69,19 +91,10 @@ def personalized_pagerank(spark: SparkSession, edges: DataFrame, seeds: DataFram
         return seeds.select("node", F.lit(0.0).alias("score"))
     start = tmp.cut(seeds.groupBy("node").agg((F.count("*") / n).alias("score")))
     edges = tmp.cut(edges.select("source", "target", "weight"))
-    # only what can be reached in as many steps carries any score
-    near = start.select("node")
-    reached, frontier = near, near
-    for _ in range(iterations):
-        step = edges.join(frontier.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node")).distinct()
-        frontier = tmp.cut(step.join(reached, "node", "left_anti"))
-        if not frontier.limit(1).count():
-            break
-        reached = reached.unionByName(frontier)
     out = edges.groupBy("source").agg(F.sum("weight").alias("total"))
     shares = edges.join(out, "source").select(F.col("source").alias("node"), "target", (F.col("weight") / F.col("total")).alias("share"))
     # kept in the memory or on the disk of the executors as it was divided, so no step shuffles it again; a lost part is made again
-    shares = shares.join(reached, "node", "left_semi").repartition("node").persist(StorageLevel.MEMORY_AND_DISK)
+    shares = shares.repartition("node").persist(StorageLevel.MEMORY_AND_DISK)
     scores = start
     for i in range(iterations):
         walked = scores.join(shares, "node").select(F.col("target").alias("node"), ((1 - alpha) * F.col("score") * F.col("share")).alias("score"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotwork.operators import changes as CH
+from knotwork.operators import graph as G
 from knotwork.operators import grounding as GR
 from knotwork.operators import texts as T
 from knotwork.plans import mapping as M
@@ -202,3 +203,23 @@ def unique_sites(spark: SparkSession, sf: str) -> DataFrame:
     """ST2."""
     li = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 40).alias("file"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("caller"), F.col("l_partkey").alias("callee"), F.col("l_returnflag").alias("snippet"))
     return CH.unique_sites(li)
+
+
+_SITES = "si AS (SELECT CAST(l_suppkey AS VARCHAR) AS caller, CAST(l_partkey % 150 AS VARCHAR) AS callee, l_orderkey AS file, l_linenumber AS line, l_returnflag AS snippet FROM lineitem)"
+
+
+def _call_graph_sql() -> str:
+    out = "WITH " + _SITES
+    for d, key, to in (("up", "callee", "caller"), ("down", "caller", "callee")):
+        top = f"row_number() OVER (PARTITION BY {key} ORDER BY file, line, {to})"
+        out += f""", {d}0 AS (SELECT {key} AS name, {to} AS other, file, line, snippet FROM si WHERE {key} IN ('1', '2') QUALIFY {top} <= 5), {d}f AS (SELECT DISTINCT other AS name FROM {d}0 WHERE other NOT IN ('1', '2')),
+{d}1 AS (SELECT {key} AS name, {to} AS other, file, line FROM si WHERE {key} IN (SELECT name FROM {d}f) QUALIFY {top} <= 5)"""
+    rows = [f"SELECT '{d}' AS direction, 0 AS depth, name, other, file, line, snippet FROM {d}0 UNION ALL SELECT '{d}', 1, name, other, file, line, NULL FROM {d}1" for d in ("up", "down")]
+    return out + " " + " UNION ALL ".join(rows)
+
+
+@query(_call_graph_sql())
+def call_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """GR3: two degrees around two symbols; suppliers and parts stand for them."""
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("caller"), (F.col("l_partkey") % 150).cast("string").alias("callee"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("snippet"))
+    return G.call_graph(li, spark.range(1, 3).select(F.col("id").cast("string").alias("name")))

@@ -14,23 +14,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 # What defines a symbol in each language, kind by pattern; the first group is the name.
-_TS = [("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("type", r"^\s*(?:export\s+)?type\s+(\w+)\s*="), ("enum", r"^\s*(?:export\s+)?enum\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)"), ("function", r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\(")]
+_TS = [("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("type", r"^\s*(?:export\s+)?type\s+(\w+)\s*="), ("enum", r"^\s*(?:export\s+)?enum\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)"), ("function", r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?(?:\(|function\b|\w+\s*=>)"), ("method", r"^\s+(?:(?:public|private|protected|static|async|override|get|set)\s+)*\*?(?!(?:if|for|while|switch|catch|function|return|with|do)\b)(\w+)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^={;]+)?\{\s*$")]
 DEFINITIONS = {
     "typescript": _TS,
     "javascript": _TS,
     "python": [("class", r"^\s*class\s+(\w+)"), ("function", r"^(?:async\s+)?def\s+(\w+)"), ("method", r"^\s+(?:async\s+)?def\s+(\w+)")],
     "go": [("method", r"^func\s+\([^)]*\)\s*(\w+)"), ("function", r"^func\s+(\w+)"), ("struct", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface"), ("type", r"^type\s+(\w+)\s")],
     "rust": [("function", r"^\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)"), ("struct", r"^\s*(?:pub\s+)?struct\s+(\w+)"), ("enum", r"^\s*(?:pub\s+)?enum\s+(\w+)"), ("trait", r"^\s*(?:pub\s+)?trait\s+(\w+)"), ("impl", r"^\s*impl(?:<[^>]*>)?\s+(\w+)")],
-    "elixir": [("class", r"^\s*defmodule\s+([\w.]+)"), ("function", r"^\s*defp?\s+(\w+[?!]?)")],
+    "elixir": [("class", r"^\s*defmodule\s+([\w.]+)"), ("interface", r"^\s*defprotocol\s+([\w.]+)"), ("function", r"^\s*def(?:p|macrop?)?\s+(\w+[?!]?)")],
 }
 _CALL = re.compile(r"(?<![\w.])([A-Za-z_]\w*(?:(?:\.|::|#)\w+)*)\s*\(")
 _WORDS = frozenset("if for while switch return function def class func fn catch match await async elif with and or not in print defp do".split())
-_EXPORTED = {"typescript": r"^\s*export\b", "javascript": r"^\s*export\b", "rust": r"^\s*pub\b", "elixir": r"^\s*def(?:module)?\s"}
+_EXPORTED = {"typescript": r"^\s*export\b", "javascript": r"^\s*export\b", "rust": r"^\s*pub\b", "elixir": r"^\s*def(?:module|protocol|macro)?\s"}
 _IMPORTS = {"typescript": r"(?:import|export)\s[^;]*?from\s+['\"](\.[^'\"]*)['\"]", "python": r"from\s+(\.+[\w.]*)\s+import"}
 
 
 def symbols_of(text: str, language: str) -> list[dict]:
-    """SC8: name, kind, line_start, line_end, signature (at most three lines and 500 characters), body_hash, export_status."""
+    """SC8: name, kind, line_start, line_end, signature (at most three lines and 500 characters), body_hash, export_status, parent, qualified_name.
+
+    The parent is the innermost symbol around it, the qualified name the names from the outermost on; methods outside a class are none.
+    """
     lines, out = text.split("\n"), []
     for i, line in enumerate(lines):
         for kind, pattern in DEFINITIONS.get(language, []):
@@ -50,9 +53,15 @@ def symbols_of(text: str, language: str) -> list[dict]:
         first = lines[s["line_start"] - 1]
         status = "default_export" if re.match(r"\s*export\s+default\b", first) else "exported" if re.match(_EXPORTED.get(language, r"$^"), first) or (language == "go" and s["name"][:1].isupper()) or (language == "python" and not s["name"].startswith("_")) else "local"
         s |= {"line_end": after, "signature": re.split(r"\{|\bdo\b", "\n".join(body.split("\n")[:3]))[0].strip()[:500], "body_hash": hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest(), "export_status": status}
+    around: list[dict] = []
     for s in out:
         s.pop("indent", None)
-    return out
+        around = [p for p in around if p["line_end"] >= s["line_end"] and p["line_start"] < s["line_start"]]
+        s["parent"] = around[-1]["qualified_name"] if around else None
+        s["qualified_name"] = f"{s['parent']}.{s['name']}" if around else s["name"]
+        s["stray"] = s["kind"] == "method" and language in ("typescript", "javascript") and not (around and around[-1]["kind"] == "class")
+        around.append(s)
+    return [{k: v for k, v in s.items() if k != "stray"} for s in out if not s["stray"]]
 
 
 def calls_of(text: str, language: str) -> list[tuple[str, str, int, str]]:
@@ -85,6 +94,13 @@ def resolve_import(importer: str, spec: str, language: str) -> str:
     return posixpath.normpath(posixpath.join(base, spec))
 
 
+def existing_path(target: str, known: frozenset[str] | set[str], language: str) -> str | None:
+    """SC10: the file of known that an import without extension means: itself, with one of the language's extensions, or the index of a folder."""
+    ends = {"python": (".py", "/__init__.py")}.get(language, (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js"))
+    plain = re.sub(r"\.(?:[mc]?js|jsx)$", "", target)
+    return next((p for p in (target, *(target + e for e in ends), *(plain + e for e in ends)) if p in known), None)
+
+
 def _spread(texts: DataFrame, each, schema: str) -> DataFrame:  # noqa: ANN001
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in schema.split(", ")]
@@ -96,8 +112,8 @@ def _spread(texts: DataFrame, each, schema: str) -> DataFrame:  # noqa: ANN001
 
 def extract_symbols(texts: DataFrame) -> DataFrame:
     """SC8 over texts (path, language, text); null texts have none."""
-    keys = ["name", "kind", "line_start", "line_end", "signature", "body_hash", "export_status"]
-    return _spread(texts, lambda p, lang, t: [(p, *[s[k] for k in keys]) for s in symbols_of(t, lang)], "path string, name string, kind string, line_start int, line_end int, signature string, body_hash string, export_status string")
+    keys = ["name", "kind", "line_start", "line_end", "signature", "body_hash", "export_status", "parent", "qualified_name"]
+    return _spread(texts, lambda p, lang, t: [(p, *[s[k] for k in keys]) for s in symbols_of(t, lang)], "path string, name string, kind string, line_start int, line_end int, signature string, body_hash string, export_status string, parent string, qualified_name string")
 
 
 def extract_calls(texts: DataFrame) -> DataFrame:

@@ -253,3 +253,24 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         shared_dir(Session())
+
+
+def test_symbols_of_nested_code():
+    from knotwork.sources import code as SC
+
+    ts = "export class Cache<T> {\n  private async load(key: string): Promise<void> {\n    if (key) {\n      run(key);\n    }\n  }\n}\nexport const pick = (x) => x;\n"
+    got = {s["qualified_name"]: (s["kind"], s["parent"], s["line_start"], s["line_end"]) for s in SC.symbols_of(ts, "typescript")}
+    assert got == {"Cache": ("class", None, 1, 7), "Cache.load": ("method", "Cache", 2, 6), "pick": ("function", None, 8, 8)}
+    ex = "defmodule A.B do\n  defmacro wrap(x) do\n    x\n  end\n  defp go?(y), do: y\nend\ndefprotocol P do\n  def size(d)\nend\n"
+    assert [(s["qualified_name"], s["kind"]) for s in SC.symbols_of(ex, "elixir")] == [("A.B", "class"), ("A.B.wrap", "function"), ("A.B.go?", "function"), ("P", "interface"), ("P.size", "function")]
+    known = {"src/a.ts", "src/lib/index.ts", "pkg/__init__.py"}
+    assert SC.existing_path("src/a.js", known, "typescript") == "src/a.ts" and SC.existing_path("src/lib", known, "typescript") == "src/lib/index.ts"
+    assert SC.existing_path("pkg", known, "python") == "pkg/__init__.py" and SC.existing_path("src/none", known, "typescript") is None
+
+
+def test_call_graph_visits_limit_the_way_on(spark):
+    from knotwork.operators import graph as G
+
+    sites = spark.createDataFrame([("a", "s", "f", 1, "x"), ("s", "a", "f", 2, "y"), ("b", "a", "f", 3, "z"), ("a", "a", "f", 4, "r"), (None, "s", "f", 5, "n")], "caller string, callee string, file string, line int, snippet string")
+    got = rows(G.call_graph(sites, spark.createDataFrame([("s",), ("s",)], "name string")).select("direction", "depth", "name", "other", "snippet"))
+    assert got == {("up", 0, "s", "a", "x"), ("up", 1, "a", "s", None), ("up", 1, "a", "b", None), ("up", 1, "a", "a", None), ("down", 0, "s", "a", "y"), ("down", 1, "a", "s", None), ("down", 1, "a", "a", None)}
