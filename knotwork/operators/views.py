@@ -44,3 +44,13 @@ def hash_diff(stored: DataFrame, found: DataFrame, key: str, digest: str) -> Dat
     f = found.select(F.col(key).alias("fk"), F.col(digest).alias("fd"))
     action = F.when(F.col("sk").isNull(), "add").when(F.col("fk").isNull(), "remove").when(F.col("sd").eqNullSafe(F.col("fd")), "skip").otherwise("change")
     return s.join(f, F.col("sk") == F.col("fk"), "full_outer").select(F.coalesce("sk", "fk").alias(key), action.alias("action"))
+
+
+def positions(df: DataFrame, key: str, at: str, tie: str, out: str = "position") -> DataFrame:
+    """WN5: the place of each row in its key by time, then by tie, from 1. Places are counted within a day and days are added up, so no key is sorted by one task."""
+    day = df.withColumn("__d", F.coalesce(F.to_date(at), F.lit("0001-01-01").cast("date")))
+    near = day.withColumn("__i", F.row_number().over(Window.partitionBy(key, "__d").orderBy(at, tie)))
+    w = Window.partitionBy(key).orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
+    days = day.groupBy(key, "__d").agg(F.count("*").alias("__n")).select(F.col(key).alias("__k"), F.col("__d").alias("__e"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    j = near.join(days, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__d") == F.col("__e")))
+    return j.withColumn(out, (F.col("__i") + F.col("__before")).cast("int")).drop("__d", "__i", "__k", "__e", "__before")

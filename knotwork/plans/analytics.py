@@ -171,8 +171,8 @@ def journal_trail(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, lower(trim(source)) AS narrative, row_number() OVER (PARTITION BY lower(trim(source)) ORDER BY created_at, doc_id) AS position FROM documents WHERE source IS NOT NULL")
 def narrative_positions(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("narrative").orderBy("created_at", "doc_id")
-    return table(spark, sf, "documents").where("source is not null").select("doc_id", F.lower(F.trim("source")).alias("narrative"), "created_at").withColumn("position", F.row_number().over(w)).drop("created_at")
+    d = table(spark, sf, "documents").where("source is not null").select("doc_id", F.lower(F.trim("source")).alias("narrative"), "created_at")
+    return V.positions(d, "narrative", "created_at", "doc_id").drop("created_at")
 
 
 @query("""WITH c AS (SELECT l_orderkey AS claim, l_partkey AS source FROM lineitem), s AS (SELECT c_custkey AS source, c_acctbal / 9973 AS freshness, ((c_custkey % 10) / 10.0)::DOUBLE AS relevance FROM customer)
