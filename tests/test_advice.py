@@ -19,7 +19,7 @@ def test_pairs_of_every_model(spark, tmp_path):
     # C7 and C8: .5 under text-64, 1 under code-64
     rows += [("C7", one, "lorevec-text-64"), ("C8", [0.5, 0.0, 0.75**0.5] + [0.0] * 61, "lorevec-text-64"), ("C7", other, "lorevec-code-64"), ("C8", other, "lorevec-code-64")]
     cluster = {"C6": 2, "C7": 3, "C8": 3}
-    spark.createDataFrame([(f"C{i}", cluster.get(f"C{i}", 1)) for i in range(1, 9)], "fl_id string, fl_cluster int").write.parquet(f"{tmp_path}/state_chunks.parquet")
+    spark.createDataFrame([(f"C{i}", cluster.get(f"C{i}", 1), t) for i in range(1, 9)], "fl_id string, fl_cluster int, fl_created_at timestamp_ntz").write.parquet(f"{tmp_path}/state_chunks.parquet")
     spark.createDataFrame([("lorevec-text-64", 64), ("lorevec-code-64", 64), ("lorevec-text-v0", 96)], "model string, dim int").write.parquet(f"{tmp_path}/embed_models.parquet")
     spark.createDataFrame([(f"E{i}", c, v, m, t) for i, (c, v, m) in enumerate(rows)], "id string, chunk_id string, embedding array<float>, model string, embedded_at timestamp_ntz").write.parquet(f"{tmp_path}/chunk_embeddings.parquet")
     got = sorted((r["a"], r["b"], r["cluster"], r["similarity"], r["kind"]) for r in analytics.suggest_merge_relate(spark, str(tmp_path)).collect())

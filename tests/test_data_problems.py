@@ -165,6 +165,7 @@ def test_hierarchy_of_scattered_ids_stays_in_the_recursion(spark):
     ids = [f"{rng.getrandbits(64):016x}" for _ in range(400)]
     links = [(ids[i], ids[i - 1] if i and i < 250 else ids[rng.randrange(i)] if i else None) for i in range(400)]
     links += [("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("below", "c1")]
+    links = dict(links)
     assert solve(spark, links, 40) == plain_hierarchy(links)
 
 
