@@ -109,7 +109,7 @@ def rescan_listed(spark: SparkSession, sf: str) -> DataFrame:
     return CH.rescan(stored, found, stored.where("language = 'go'"))
 
 
-@query("""WITH i AS (SELECT l_suppkey AS from_id, l_partkey AS to_id, l_returnflag AS relation_type, arg_max(l_quantity / 40 - 0.2, l_orderkey * 10 + l_linenumber)::DOUBLE AS weight FROM lineitem WHERE year(l_shipdate) >= 1997 GROUP BY 1, 2, 3),
+@query("""WITH i AS (SELECT l_suppkey AS from_id, l_partkey AS to_id, l_returnflag AS relation_type, arg_max(l_quantity / 40 - 0.2, struct_pack(a := l_orderkey * 10 + l_linenumber, q := l_quantity))::DOUBLE AS weight FROM lineitem WHERE year(l_shipdate) >= 1997 GROUP BY 1, 2, 3),
 e AS (SELECT l_suppkey AS from_id, l_partkey AS to_id, l_returnflag AS relation_type, 0.5::DOUBLE AS weight, 0 AS active FROM lineitem WHERE year(l_shipdate) < 1997 GROUP BY 1, 2, 3)
 SELECT from_id, to_id, relation_type, round(CASE WHEN isnan(weight) THEN 1 ELSE greatest(0, least(1, weight)) END, 6) AS weight, 1 AS active FROM i UNION ALL SELECT e.* FROM e ANTI JOIN i USING (from_id, to_id, relation_type)""")
 def relations_upserted(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,7 +117,7 @@ def relations_upserted(spark: SparkSession, sf: str) -> DataFrame:
     li, key = table(spark, sf, "lineitem"), [F.col("l_suppkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.col("l_returnflag").alias("relation_type")]
     old = li.where(F.year("l_shipdate") < 1997).select(*key).distinct().select("*", F.lit(0.5).alias("weight"), F.lit(0).alias("active"), F.lit(0).cast("long").alias("at"))
     at = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long")
-    new = li.where(F.year("l_shipdate") >= 1997).groupBy(*key).agg(F.max_by(F.col("l_quantity") / 40 - 0.2, at).alias("weight"), F.max(at).alias("at"))
+    new = li.where(F.year("l_shipdate") >= 1997).groupBy(*key).agg(F.max_by(F.col("l_quantity") / 40 - 0.2, F.struct(at, "l_quantity")).alias("weight"), F.max(at).alias("at"))
     return rounded(CH.relations_upserted(old, new).drop("at"))
 
 
