@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.scratch import Scratch
+
 # Size of a chunk in estimated tokens, overlap of lines, limits of a diff and of a merged span.
 TARGET, OVERLAP, DIFF_LINES, GAP, REACH, MOST = 900, 0.15, 500, 8, 6, 14
 
@@ -192,10 +194,17 @@ def coalesced_sites(sites: DataFrame) -> DataFrame:
 def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, least: int = 3) -> DataFrame:
     """LC14, JN21: key, name_id, confidence .5: symbols whose name (of least letters) stands in a text as a word.
 
-    The text's words meet the names in an equi-join, never a pattern for every pair.
+    The text's words meet the names in an equi-join, never a pattern for every pair. Ids that have the same set of names are one
+    group; texts are made distinct by group, so the rows, of which there may be thousands a word, are neither shuffled nor sorted.
     """
+    tmp = Scratch(texts.sparkSession)
+    ids = tmp.cut(names.where(F.length("name") >= least).groupBy("name_id").agg(F.array_sort(F.collect_set("name")).alias("names")))
+    groups = tmp.cut(ids.select("names").distinct().select("names", F.monotonically_increasing_id().alias("group")))  # written once, so the numbers stay the same
+    named = tmp.cut(groups.select("group", F.explode("names").alias("name")))  # so that a small table is known to be small before texts are read
+    members = ids.join(groups, "names").select("group", "name_id")
     words = texts.select(key, F.explode(F.array_distinct(F.split(F.coalesce(F.col(text), F.lit("")), "[^A-Za-z0-9_]+"))).alias("name"))
-    return words.where(F.length("name") >= least).join(names.where(F.length("name") >= least).select("name", "name_id").distinct(), "name").select(key, "name_id", F.lit(0.5).alias("confidence")).distinct()
+    found = words.where(F.length("name") >= least).join(named, "name").select(key, "group").distinct()
+    return found.join(members, "group").select(key, "name_id", F.lit(0.5).alias("confidence"))
 
 
 def file_overlap(bindings: DataFrame, symbols: DataFrame, confidence: float = 0.8) -> DataFrame:

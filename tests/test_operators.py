@@ -220,6 +220,16 @@ def test_coverage_and_suggestions(spark):
     assert got == {(i, j) for i in range(8) for j in range(i + 1, 8) if cos(i, j) >= 0.9}
 
 
+def test_mentions_are_told_apart_without_a_shuffle_of_their_rows(spark):
+    """Ids with several names give one row a text; ids that share a name, and one without id, give one each; found by names alone, rows are not shuffled again."""
+    names = spark.createDataFrame([("getRow", "s1"), ("setRow", "s1"), ("getRow", "s2"), ("getRow", "s2"), ("setRow", None), ("no", "s3"), (None, "s4")], "name string, name_id string")
+    docs = spark.createDataFrame([(1, "getRow setRow getRow"), (1, "setRow no"), (2, "getRow."), (3, None), (None, "setRow")], "id long, text string")
+    out = T.mentions(docs, "id", "text", names)
+    assert sorted(((r["id"] or 0, r["name_id"] or "") for r in out.collect())) == [(0, ""), (0, "s1"), (1, ""), (1, "s1"), (1, "s2"), (2, "s1"), (2, "s2")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # the join that multiplies rows comes last: nothing is made distinct behind it
+
+
 def test_texts(spark):
     assert T.coalesce_spans([10, 17, 24, 40]) == [(10, 24, 3), (40, 46, 1)] and T.coalesce_spans([41]) == [(41, 47, 1)]
     chunks = T.chunk_markdown("# A\n" + "x" * 40 + "\n```\n# no\n```\n# B\n" + "y" * 40, 15, 0.0)
