@@ -339,7 +339,7 @@ def sentence_units(docs: DataFrame, key: str, text: str, lex: Lexicon | None = N
     gives no rows. The lexicon is learned from all documents unless it is given; then they are cut each by
     itself, so nothing but counts is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(lex or learned(docs, text, paragraphs))  # bounded, see the lexicon
+    shared = docs.sparkSession.sparkContext.broadcast(lex or learned(docs, text, paragraphs))  # what was found, see the lexicon
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -399,6 +399,22 @@ def test_words_are_learned_and_decide(lex):
     assert units(gap, lex) == [gap] and units(gap, lexicon.Lexicon()) == ["止まった……", "が、すぐに戻った！"]
 
 
+def test_the_lexicon_is_learned_whole(spark, lex):
+    """However many keys a corpus has, all are judged: 12,000 short words, 6,000 abbreviations and rare ones are there, as counts judged at once give them."""
+    from itertools import islice, product
+
+    texts = [t for t in pd.read_parquet("/root/testdata/sf0.01/documents.parquet")["text"] if t and "İ" not in t]
+    words = ["".join(w) for w in islice(product("bcdfghjklmnpqrstvwxz", repeat=4), 18_000)]
+    texts += [" ".join(words[i : i + 500]) for i in range(0, 12_000, 500)]
+    texts += [" ".join(f"we q{w}. met" for w in words[i : i + 500]) for i in range(12_000, 18_000, 500) for _ in range(4)]
+    got = lexicon.learned(spark.createDataFrame([(t,) for t in texts], "text string"), "text", sentences.paragraphs)
+    want = lexicon_of(texts)
+    assert set(words[:12_000]) <= got.short and {f"q{w}" for w in words[12_000:]} <= got.never
+    long = lambda s: {k for k in s if len(k) <= lexicon.LETTERS}
+    assert all(getattr(got, f) == long(getattr(want, f)) for f in ("never", "maybe", "numbered", "closed", "short", "openers"))
+    assert all(getattr(got, f) == getattr(want, f) for f in ("costs", "finals", "starts"))
+
+
 def test_a_gap_is_judged_by_whole_runs():
     """The word that decides begins thirty characters before the gap."""
     long = "記" * 30
