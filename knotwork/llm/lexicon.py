@@ -34,12 +34,13 @@ LONGEST = 4
 _OPENERS = "([{（［【「『《〈«„“\"‘‚'¿¡*_`"
 _CLOSERS = ")]}）］】」』》〉»”’\"'*_`"
 _QUOTES = frozenset("»”’\"'」』")
-_DOT = re.compile(rf"(?<=[^\s.…!?])\.[{re.escape(_CLOSERS)}]*(?=\s|$)")
+#: Patterns begin with a character or a set of characters, so that re skips to the next place in question.
+_DOT = re.compile(rf"\.(?<=[^\s.…!?]\.)[{re.escape(_CLOSERS)}]*(?=\s|$)")
 _FOLLOW = re.compile(r"\s*(\S+)")
 _SURE = re.compile(rf"[!?][{re.escape(_CLOSERS)}]*\s+(\S+)")
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
-_RUN = re.compile(f"[{CJK}]+")
-_STOPPED = re.compile(f"([{CJK}]+)[。！？]|(?:[。！？][」』”）]*|^)([{CJK}]+)", re.M)
+_RUN = re.compile(f"[{CJK}][{CJK}]*")
+_CJK_STOPS, _CJK_CLOSERS = "。！？", "」』”）"
 
 
 def normal(word: str) -> str:
@@ -58,6 +59,15 @@ def keys_of(word: str, before: str) -> list[str]:
     return [k, f"{normal(before)} {k}"] if before and len(w) <= 3 else [k]
 
 
+def _word_before(text: str, i: int) -> str:
+    """The run of other than white space that ends before i, white space between them aside."""
+    near = text[max(0, i - 64) : i].rsplit(None, 1)
+    if len(near) == 2 or i <= 64:
+        return near[-1] if near else ""
+    end = _end_before(text, i)
+    return text[_begin(text, end) : end]
+
+
 def _begin(text: str, i: int) -> int:
     """Where the run of other than white space that ends at i begins."""
     while i and not text[i - 1].isspace():
@@ -117,11 +127,11 @@ def observed(text: str, paragraphs: Callable[[str], Iterator[tuple[int, int]]],
             opened[first[0]] += 1
         for m in _DOT.finditer(part):
             i = m.start()
-            at = _begin(part, i)
-            word, nxt = part[at:i], _FOLLOW.match(part, m.end())
-            if i - at > 24:
+            word = part[max(0, i - 25) : i].rsplit(None, 1)[-1]
+            if len(word) > 24:
                 continue
-            keys = keys_of(word, part[_begin(part, e) : e] if (e := _end_before(part, at)) and len(word.lstrip(_OPENERS)) <= 3 else "")
+            nxt = _FOLLOW.match(part, m.end())
+            keys = keys_of(word, _word_before(part, i - len(word)) if len(word.lstrip(_OPENERS)) <= 3 else "")
             if nxt is None or nxt.group(1)[0] in _QUOTES or m.end() - i > 1 and not _QUOTES.isdisjoint(m.group()):  # a quotation ends in a stop of its own
                 what = "end"
             else:
@@ -131,12 +141,24 @@ def observed(text: str, paragraphs: Callable[[str], Iterator[tuple[int, int]]],
                 dot[k, what] += 1
         for m in _SURE.finditer(part):
             opened[m.group(1)] += 1
-    counts["run"].update(_RUN.findall(text))
-    for last, first in _STOPPED.findall(text):
-        if last:
-            counts["last"][last[-LONGEST:]] += 1
-        else:
-            counts["first"][first[:LONGEST]] += 1
+    if text.isascii():
+        return
+    done = 0  # behind the run or the stop looked at last
+    for m in _RUN.finditer(text):
+        run, i, j = m.group(), m.start(), m.end()
+        counts["run"][run] += 1
+        before = i - 1
+        while before >= done and text[before] in _CJK_CLOSERS:
+            before -= 1
+        if before >= done and text[before] in _CJK_STOPS:
+            counts["first"][run[:LONGEST]] += 1
+            done = j
+        elif text[j : j + 1] and text[j] in _CJK_STOPS:
+            counts["last"][run[-LONGEST:]] += 1
+            done = j + 1
+        elif i == 0 or text[i - 1] == "\n":
+            counts["first"][run[:LONGEST]] += 1
+            done = j
 
 
 def expanded(counts: dict[str, Counter]) -> dict[str, Counter]:

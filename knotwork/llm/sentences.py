@@ -40,7 +40,20 @@ _AFTER = frozenset(")]}）］】」』》〉»”’\"'")
 _CJK = CJK
 #: Scripts that have no stops: a blank between two of their letters ends a unit.
 _STOPLESS = "ก-ฺเ-๎ກ-ຽເ-ໟ"
-_EVENT = re.compile(rf"[.…]+[!?]*|[!?{STOPS}][!?！？。.…]*|[\"()\[\]（）［］【】「」『』《》〈〉«»„“”]|(?<=[{_STOPLESS}])[ \t\xa0\r\n]+(?=[{_STOPLESS}])")
+_SIGNS = "\"()\\[\\]（）［］【】「」『』《》〈〉«»„“”"
+#: A set with characters beyond the basic plane is searched one by one for every character of a text, so it is used only where one of them occurs.
+_FAR_STOPS = frozenset(c for c in STOPS if c > "\uffff")
+_NEAR_STOPS = "".join(c for c in STOPS if c <= "\uffff")
+
+
+def _event(stops: str) -> re.Pattern:
+    return re.compile(rf"[.…]+[!?]*|[!?{stops}][!?！？。.…]*|[{_SIGNS}]|(?<=[{_STOPLESS}])[ \t\xa0\r\n]+(?=[{_STOPLESS}])")
+
+
+_EVENT, _NEAR_EVENT = _event(STOPS), _event(_NEAR_STOPS)
+#: The same where scripts without stops don't occur: it begins with a set, so that re skips to the next of its characters.
+_MARKS = re.compile(rf"[.…!?{_NEAR_STOPS}{_SIGNS}](?:(?<=[.…])[.…]*[!?]*|(?<=[!?{_NEAR_STOPS}])[!?！？。.…]*|)")
+_HAS_STOPLESS, _HAS_FAR = re.compile(rf"[{_STOPLESS}]"), re.compile("[\U00010000-\U0010ffff]")
 #: What the last line of a paragraph ends in where a list may begin right below it.
 _BEHIND = frozenset(STOPS) | frozenset(".!?…:：”\"»）)」")
 _IS_CJK = re.compile(rf"[{_CJK}]")
@@ -50,8 +63,21 @@ _NEXT = re.compile(r"[^\s]+")
 _PLAIN_LOW = re.compile(r"[a-zß-öø-ÿа-яёά-ώα-ω'’]+[,;:.!?)»”\"…]*$")
 
 
+def _marks_of(text: str) -> re.Pattern:
+    """The pattern that finds in text what _EVENT finds, with the least work."""
+    if text.isascii():
+        return _MARKS
+    if _HAS_FAR.search(text) and not _FAR_STOPS.isdisjoint(text):
+        return _EVENT
+    return _NEAR_EVENT if _HAS_STOPLESS.search(text) else _MARKS
+
+
 def _word_at(text: str, start: int, dot: int) -> int:
     """Where the word that ends at dot begins: behind white space or an opening sign, however far away."""
+    if dot > start and not text[dot - 1].isspace():
+        word = text[max(start, dot - 32) : dot].rsplit(None, 1)[-1]
+        if word.isalpha() and (len(word) < 32 or dot - 32 <= start):
+            return dot - len(word)
     i = dot
     while i > start and not text[i - 1].isspace() and text[i - 1] not in _BEFORE_WORD:
         i -= 1
@@ -181,9 +207,9 @@ def _closes(text: str, start: int, opened: int, closed: int, end: int, lex: Lexi
     return told
 
 
-def _paragraph(text: str, a: int, b: int, first: int, out: list[tuple[int, int]], lex: Lexicon) -> None:
+def _paragraph(text: str, a: int, b: int, first: int, out: list[tuple[int, int]], lex: Lexicon, marks: re.Pattern = _EVENT) -> None:
     """Appends the sentences of text[a:b]; marks before first (a list mark, a time stamp) are not looked at."""
-    events = list(_EVENT.finditer(text, first, b))
+    events = list(marks.finditer(text, first, b))
     # the lattice of openings and closings: only pairs count
     partner: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
@@ -244,7 +270,7 @@ def _ends_behind(text: str, start: int, a: int, b: int, j: int, end: int, lex: L
     nxt = j
     while nxt < end and text[nxt].isspace():
         nxt += 1
-    return nxt == end or (nxt > j and not text[nxt].islower() and text[nxt] not in ",;:") and not (text[a:b] == "." and _abbreviated(text, start, a, nxt))
+    return nxt == end or (nxt > j and not text[nxt].islower() and text[nxt] not in ",;:") and not (text[a:b] == "." and _abbreviated(text, start, a, nxt, lex))
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, int]]:
@@ -262,7 +288,8 @@ def blocks(text: str) -> Iterator[tuple[int, int, int]]:
                 yield fence_at, stop, -1
                 fence, prev = "", "block"
             continue
-        head = text[line_at:stop].strip()
+        line = text[line_at:stop].rstrip()
+        head = line.lstrip()
         if not head:
             kind = "blank"
         else:
@@ -296,9 +323,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, int]]:
             prev = "text"
         else:
             prev = "blank"
-        last_end = stop
-        while last_end > line_at and text[last_end - 1].isspace():
-            last_end -= 1
+        last_end = line_at + len(line)
     if fence:
         yield fence_at, end, -1
     if para >= 0:
@@ -315,11 +340,13 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
 def sentences(text: str | None, lex: Lexicon) -> list[tuple[int, int]]:
     """(start, end) of the units of a text, in code points, without outer white space."""
     out: list[tuple[int, int]] = []
-    for a, b, first in blocks(text or ""):
+    text = text or ""
+    marks = _marks_of(text)
+    for a, b, first in blocks(text):
         if first < 0:
             out.append((a, b))
         else:
-            _paragraph(text, a, b, first, out, lex)
+            _paragraph(text, a, b, first, out, lex, marks)
     done = []
     for a, b in out:
         while a < b and text[a].isspace():
