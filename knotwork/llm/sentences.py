@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from knotwork.llm.lexicon import CJK, Lexicon, keys_of, learned
 
 #: Marks that end sentences, of all scripts, by Unicode's own property; full stops and dots of ellipses aside.
-STOPS = "".join(c for c in map(chr, range(0x80, 0x20000)) if regex.match(r"\p{SB=STerm}", c)) + "།༎;;"
+STOPS = "".join(regex.findall(r"\p{SB=STerm}", "".join(map(chr, range(0x80, 0x20000))))) + "།༎;;"
 #: Unicode counts this mark of Georgian and other scripts among those that do not end sentences.
 _HARD = frozenset(STOPS) - frozenset(";;")
 
