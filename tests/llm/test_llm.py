@@ -452,7 +452,7 @@ def test_marks_are_found_without_a_look_at_every_character():
     for t in texts:
         found = [m.span() for m in sentences._marks_of(t).finditer(t)]
         assert found and found == [m.span() for m in sentences._EVENT.finditer(t)]
-    for t in (texts[0] * 2_000, texts[1] * 2_000, texts[4] * 4_000):
+    for t in ("So it is written in the long report of the day。" * 4_000, "記録には失われたとあるが再び試行した。" * 4_000, "Words go on 😀 and so it is written in the report. " * 4_000):
         assert seconds(lambda: list(sentences._marks_of(t).finditer(t))) < seconds(lambda: list(sentences._EVENT.finditer(t))) / 2
 
 
