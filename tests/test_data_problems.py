@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +122,18 @@ def test_orphans_random_with_a_hot_key(spark, monkeypatch):
     assert orphans(spark, refs, parents) == want
 
 
+def test_orphans_of_many_periods():
+    # two bitmaps a month: held as booleans all at once they take 0.5 GB
+    months = [y * 100 + m for y in range(1, 668) for m in range(1, 13)][:8000]
+    rows = pd.DataFrame([(p, s, m) for i, m in enumerate(months) for s, p in (("ref", i), ("ref", i + 1), ("parent", i))], columns=["pos", "side", "period"])
+    tracemalloc.start()
+    out = O._survivors(("f", 3), O._build(("f", 3, 0), rows))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(out["key_id"] - 3 * O.RANGE, out["period"], out["kind"])) == sorted(x for i, m in enumerate(months) for x in ((i, m, "check"), (i + 1, m, "orphan")))
+    assert peak < 100e6
+
+
 def test_bitmaps_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 512, 513, 9000, O.RANGE):
