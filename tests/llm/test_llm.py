@@ -244,6 +244,30 @@ def test_descent_finds_neighbours():
     assert hit[strong].mean() > 0.9
 
 
+def test_descent_puts_only_candidates_in_order(monkeypatch):
+    """Of a block's products few are near; before, all of them were partitioned: about BLOCK numbers for each row and start."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((800, 64)), 5, 0) + 0.2 * rng.standard_normal((4000, 64))
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ordered = []
+    for name in ("argpartition", "argsort", "lexsort"):
+        real = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda a, *args, real=real, **kw: (ordered.append(np.size(a)), real(a, *args, **kw))[1])
+    near, sim = clusters.descend(u, 6, 0.55)
+    assert (near >= 0).any() and (sim[near >= 0] >= 0.55).all()
+    assert sum(ordered) < 0.1 * clusters.STARTS * clusters.BLOCK * len(u)
+
+
+@pytest.mark.parametrize("floor", [0.9, 0.2, -2.0, 2.0])
+def test_the_greatest_of_each_row(floor):
+    s = np.round(np.random.default_rng(4).uniform(-1, 1, (60, 90)), 2).astype(np.float32)  # with ties
+    for a in (s, s[:4, :4]):
+        i, j = clusters._above(a, 5, floor)
+        assert len(set(zip(i.tolist(), j.tolist()))) == len(i)
+        for r in range(len(a)):
+            assert sorted(a[r, j[i == r]].tolist()) == sorted(sorted(a[r][a[r] >= floor].tolist())[-5:])
+
+
 def test_links_join_parts_that_lists_of_the_nearest_do_not():
     """Two knots of forty near copies each, alike at .85: all lists are full inside a knot."""
     rng = np.random.default_rng(2)
